@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cubeloom.llm._common import held_out_column, labelled_sample
 
@@ -120,7 +122,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs' columns, with score in place of any column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("score")
-    schema = base.schema.add("score", "double")
+    schema = StructType([*base.schema, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -133,7 +135,5 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    import pyspark.sql.functions as F
-
     scored = score_documents(docs.select("doc_id", "text"), train(docs, labels, per_class)).drop("text")
     return scored.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
