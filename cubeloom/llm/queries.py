@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import licenses, packing, quality, toxicity
+from cubeloom.llm import embeddings, licenses, packing, quality, toxicity
 from cubeloom.llm._common import read
 
 
@@ -22,6 +22,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
+    "op6_embeddings": op6_embeddings,
     "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
