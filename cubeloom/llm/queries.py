@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import embeddings, licenses, packing, quality, toxicity
+from cubeloom.llm import embeddings, html, licenses, packing, quality, toxicity
 from cubeloom.llm._common import read
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html": op2_html,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
