@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import embeddings, html, licenses, packing, quality, toxicity
+from cubeloom.llm import embeddings, html, licenses, packing, quality, substrings, toxicity
 from cubeloom.llm._common import read
 
 
@@ -34,6 +34,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html": op2_html,
     "op3_packing": op3_packing,
@@ -41,5 +45,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
     "op8_toxicity": op8_toxicity,
+    "op10_substrings": op10_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
