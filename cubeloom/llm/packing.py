@@ -35,26 +35,80 @@ TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, "_WordIds"] = {}
 
 
-class _WordIds(dict):
-    """Word (bytes without ASCII white space) -> its ids as little-endian uint32 bytes.
+# ASCII signs that always stand apart from letters before them (an apostrophe may not).
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _WordIds:
+    """Ids of words (bytes without ASCII white space) as little-endian uint32 bytes.
 
     The tokenizer drops white space and no token crosses it, so a document's ids
-    are the ids of its words in turn. Emptied when it grows past a bound.
+    are the ids of its words in turn. Letters and signs are never in one token
+    either, so a word of letters with signs after them is looked up in two parts.
+    New runs of letters are encoded together: each ends with the one token that
+    closes a word. Both tables are emptied when they grow past a bound.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > 400_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.most = most
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_letters(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(new):  # some letters part after all: one by one
+            self.letters.update((c, self.encode(c)) for c in new)
+            return
+        raw, cut = ids.tobytes(), (4 * ends).tolist()
+        self.letters.update(zip(new, (raw[i:j] for i, j in zip([0, *cut], cut)), strict=False))
+
+    def learn(self, missing: set[bytes]) -> None:
+        parts, whole, new = [], [], set()
+        letters = self.letters
+        for w in missing:
+            s = w.decode("utf-8")
+            core = s.rstrip(_TAIL)
+            if not (core.isalpha() and (core.isascii() or core.lower().isalpha())):
+                whole.append((w, s))
+                continue
+            tail = s[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            parts.append((w, core, tail))
+            if core not in letters:
+                new.add(core)
+        if new:
+            self._learn_letters(list(new))
+        words = self.words
+        for w, s in whole:
+            words[w] = self.encode(s)
+        for w, core, tail in parts:
+            if tail and tail not in letters:
+                letters[tail] = self.encode(tail)
+            words[w] = letters[core] + letters[tail] if tail else letters[core]
+
+    def document(self, text: bytes | None) -> bytes:
+        """Ids of one text and the closing id 0."""
+        ws = (text or b"").split()
+        missing = set(ws).difference(self.words)
+        if missing:
+            if len(self.words) > self.most:
+                self.words.clear()
+                missing = set(ws)
+            if len(self.letters) > self.most:
+                self.letters.clear()
+            self.learn(missing)
+        return b"".join(map(self.words.__getitem__, ws)) + b"\0\0\0\0"
 
 
 def encoder(name: str = TOKENIZER) -> _WordIds:
@@ -68,11 +122,6 @@ def encoder(name: str = TOKENIZER) -> _WordIds:
     return _ENCODERS[name]
 
 
-def document_ids(text: bytes | None, enc: _WordIds) -> bytes:
-    """Ids of one text and the closing id 0, as little-endian uint32 bytes."""
-    return b"".join(map(enc.__getitem__, (text or b"").split())) + b"\0\0\0\0"
-
-
 def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
     key = docs.schema["doc_id"]
@@ -83,7 +132,7 @@ def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> D
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = document_ids(text, enc)
+                ids = enc.document(text)
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     out.append((doc_id, at // step, at // 4, len(part) // 4, zlib.crc32(part)))
