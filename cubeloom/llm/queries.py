@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import embeddings, html, licenses, packing, quality, substrings, toxicity
+from cubeloom.llm import embeddings, html, licenses, minhash, packing, quality, substrings, toxicity
 from cubeloom.llm._common import read
 
 
@@ -30,6 +30,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
+    "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op10_substrings": op10_substrings,
 }
