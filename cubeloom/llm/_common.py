@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 import uuid
+from collections import deque
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cubeloom"
 
 
+_HELD: deque[DataFrame] = deque()
+_MOST_HELD = 48
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: later uses
-    neither recompute it nor depend on the executors that made it."""
+    """df kept for its several uses in the executors' memory and, beyond it, on their disks.
+
+    Its lineage stays, so partitions of a lost executor are made again. The
+    oldest of more than 48 kept tables is let go; what still needs it recomputes it.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(kept)
+    while len(_HELD) > _MOST_HELD:
+        with contextlib.suppress(Exception):  # its session may be stopped
+            _HELD.popleft().unpersist()
+    return kept
+
+
+def release() -> None:
+    """Lets go of all tables kept by operators of this process."""
+    while _HELD:
+        with contextlib.suppress(Exception):
+            _HELD.popleft().unpersist()
+
+
+def written(df: DataFrame, name: str = "t", spread: int = 8) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: cuts lineage.
+
+    One task writes the partitions of up to `spread` shuffle partitions, one after
+    the other, so that small tables don't become thousands of files; there are at
+    least two tasks per core.
+    """
     spark = df.sparkSession
+    df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +107,3 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
-
-
-__all__ = ["cores", "held_out_column", "labelled_sample", "mix", "os", "read", "shared_dir", "stored"]

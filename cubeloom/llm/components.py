@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import written
 
 
 def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +49,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     clean = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a <> b")
     hi_lo = clean.mapInPandas(_local_stars, "a long, b long").where("a <> b").distinct()
-    stars = stored(hi_lo, "stars")
+    stars = written(hi_lo, "stars")
     state = None
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -57,7 +57,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        stars = stored(small.where("a <> b").distinct(), "stars")
+        stars = written(small.where("a <> b").distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

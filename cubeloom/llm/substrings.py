@@ -117,63 +117,94 @@ def _file(n: int):
                 ids.append(doc)
                 rows += found
                 sizes.append(len(found))
-            p, lo, hi, key = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 4
+            p, lo, hi, key = (np.array(x, np.uint64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.uint64),) * 4
             yield pd.DataFrame({"h": np.repeat(np.array(hs, object), sizes), "rep": np.repeat(np.array(ids, np.int64), sizes), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "key": _signed(key)})
 
     return run
 
 
+class _Rows:
+    """Gathers rows as columns and hands them on in frames of a bounded size."""
+
+    def __init__(self, *names: str) -> None:
+        self.names, self.held, self.size = names, [], 0
+
+    def add(self, size: int, *values) -> Iterator[pd.DataFrame]:
+        self.held.append(values)
+        self.size += size
+        if self.size > 8_000_000:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            columns = zip(*self.held, strict=True)
+            yield pd.DataFrame({k: np.concatenate(v) if isinstance(v[0], np.ndarray) and k not in _LISTS else list(v) for k, v in zip(self.names, columns, strict=True)})
+        self.held, self.size = [], 0
+
+
+_LISTS = ("ps", "los", "his", "cs", "keys", "wholes")
+
+
 def _regions(n: int):
     """Bytes around neighbouring anchors, with the identifier of each anchor's whole reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows("h", "base", "body", *_LISTS)
         for pdf in batches:
-            for h, text, found in zip(pdf["h"], pdf["text"], pdf["anchors"], strict=True):
-                groups: list[list] = []
-                for a in sorted((a["lo"], a["hi"], a["p"], a["c"], a["key"]) for a in found):
-                    g = groups[-1] if groups else None
-                    if g and a[0] < g[-1][1] + n and a[1] + n - g[0][0] <= CHUNK:
-                        g.append(a)
-                    else:
-                        groups.append([a])
-                for g in groups:
-                    base, (lo, hi, p, c, key) = g[0][0], (np.array(x) for x in zip(*g, strict=True))
+            for h, text, *lists in zip(pdf["h"], pdf["text"], *(pdf[c] for c in _LISTS[:5]), strict=True):
+                ps, los, his, cs, keys = (np.asarray(x) for x in lists)
+                order = np.argsort(los, kind="stable")
+                ps, los, his, cs, keys = (x[order] for x in (ps, los, his, cs, keys))
+                at = 0
+                while at < len(ps):
+                    end = at + 1
+                    while end < len(ps) and los[end] < his[end - 1] + n and his[end] + n - los[at] <= CHUNK:
+                        end += 1
+                    base = int(los[at])
+                    p, lo, hi = (x[at:end].astype(np.int64) for x in (ps, los, his))
                     body = text[base : int(hi.max()) + n]
                     ids = identifiers(np.frombuffer(body, np.uint8), 256)
                     whole = _mix(_mix(stretch(ids, lo - base, hi - lo + n, 256), (p - lo).astype(np.uint64), 23), (p - hi + n).astype(np.uint64), 24)
-                    yield pd.DataFrame({"h": [h], "base": np.array([base], np.int32), "body": [body], "anchors": [[{"p": a, "lo": b, "hi": d, "c": e, "key": f, "whole": w} for a, b, d, e, f, w in zip(p.tolist(), lo.tolist(), hi.tolist(), c.tolist(), key.tolist(), _signed(whole).tolist(), strict=True)]]})
+                    yield from rows.add(len(body) + 60 * len(p), h, base, body, ps[at:end], los[at:end], his[at:end], cs[at:end], keys[at:end], _signed(whole))
+                    at = end
+        yield from rows.flush()
 
     return run
 
 
 def _blocks(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows("h", "base", "lo", "hi", "t", "u", "core")
         for pdf in batches:
-            for h, base, body, found in zip(pdf["h"], pdf["base"], pdf["body"], pdf["todo"], strict=True):
+            for h, base, body, *lists in zip(pdf["h"], pdf["base"], pdf["body"], *(pdf[c] for c in ("ps", "los", "his", "ts")), strict=True):
                 ids = identifiers(np.frombuffer(body, np.uint8), 256)
-                rows = []
-                for a in found:
-                    p, lo, hi, t = a["p"], a["lo"], a["hi"], a["t"]
-                    for g in range((p - hi) // STEP, (p - lo) // STEP + 1):
-                        first, last = p - STEP * g - STEP + 1, p - STEP * g
-                        rows.append((p, max(lo, first), min(hi, last), last, n - STEP + 1, g, t))
-                p, lo, hi, core, size, g, t = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+                p, lo, hi, t = (np.asarray(x, np.int64) for x in lists)
+                first = (p - hi) // STEP
+                many = (p - lo) // STEP - first + 1
+                g = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                p, lo, hi, t = (np.repeat(x, many) for x in (p, lo, hi, t))
+                last = p - STEP * g
+                lo, hi = np.maximum(lo, last - STEP + 1), np.minimum(hi, last)
                 u = _mix(_mix(stretch(ids, lo - base, hi - lo + n, 256), (p - lo).astype(np.uint64), 25), (p - hi + n).astype(np.uint64), 26)
-                c = _mix(stretch(ids, core - base, size, 256), g.astype(np.uint64), 27)
-                yield pd.DataFrame({"h": [h] * len(p), "base": np.full(len(p), base, np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "t": t, "u": _signed(u), "core": _signed(c)})
+                c = _mix(stretch(ids, last - base, np.full(len(p), n - STEP + 1), 256), g.astype(np.uint64), 27)
+                yield from rows.add(50 * len(p), np.full(len(p), h, object), np.full(len(p), base, np.int32), lo.astype(np.int32), hi.astype(np.int32), t, _signed(u), _signed(c))
+        yield from rows.flush()
 
     return run
 
 
 def _windows(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows("h", "lo", "t", "w")
         for pdf in batches:
-            for h, base, body, found in zip(pdf["h"], pdf["base"], pdf["body"], pdf["todo"], strict=True):
+            for h, base, body, *lists in zip(pdf["h"], pdf["base"], pdf["body"], *(pdf[c] for c in ("los", "his", "ts")), strict=True):
                 ids = identifiers(np.frombuffer(body, np.uint8), 256)
-                s = np.concatenate([np.arange(a["lo"], a["hi"] + 1) for a in found])
-                t = np.repeat([a["t"] for a in found], [a["hi"] - a["lo"] + 1 for a in found])
+                lo, hi, t = (np.asarray(x, np.int64) for x in lists)
+                many = hi - lo + 1
+                s = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
                 w = stretch(ids, s - base, np.full(len(s), n), 256)
-                yield pd.DataFrame({"h": [h] * len(s), "lo": s.astype(np.int32), "t": t, "w": _signed(w)})
+                yield from rows.add(30 * len(s), np.full(len(s), h, object), s.astype(np.int32), np.repeat(t, many), _signed(w))
+        yield from rows.flush()
 
     return run
 
@@ -189,17 +220,17 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     filed = stored(filed.groupBy("h", "p", "lo", "hi", "key").agg(F.count("*").alias("c"), F.min("rep").alias("rep")), "anchors")
     shared = filed.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
     live = filed.join(shared, "key", "left_semi")
-    lists = live.groupBy("h").agg(F.min("rep").alias("doc_id"), F.collect_list(F.struct("p", "lo", "hi", "c", "key")).alias("anchors"))
-    region = "h binary, base int, body binary, anchors array<struct<p:int,lo:int,hi:int,c:long,key:long,whole:long>>"
+    lists = live.groupBy("h").agg(F.min("rep").alias("doc_id"), *[F.collect_list(c).alias(f"{c}s") for c in ("p", "lo", "hi", "c", "key")])
+    region = "h binary, base int, body binary, ps array<int>, los array<int>, his array<int>, cs array<long>, keys array<long>, wholes array<long>"
     regions = stored(long_enough.select("h", "doc_id", "text").join(lists, ["h", "doc_id"]).mapInPandas(_regions(n), region), "regions")
 
-    each = regions.select("h", "base", F.explode("anchors").alias("a")).select("h", "base", "a.*")
+    each = regions.select("h", "base", F.explode(F.arrays_zip(*_LISTS)).alias("a")).select("h", "base", *[F.col(f"a.{c}").alias(c[:-1]) for c in _LISTS])
     place = F.struct("h", "base", "p", "lo", "hi")
     kinds = stored(each.groupBy("whole").agg(F.sum("c").alias("t"), F.min(place).alias("at"), F.min("key").alias("key")), "kinds")
     done = each.join(kinds.where("t > 1").select("whole"), "whole", "left_semi").select("h", "lo", "hi")
 
     open_keys = kinds.where("t = 1").select("key").distinct()
-    todo = kinds.join(open_keys, "key", "left_semi").select("at.*", "t").groupBy("h", "base").agg(F.collect_list(F.struct("p", "lo", "hi", "t")).alias("todo"))
+    todo = kinds.join(open_keys, "key", "left_semi").select("at.*", "t").groupBy("h", "base").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("p", "lo", "hi", "t")])
     bodies = regions.select("h", "base", "body")
     blocks = bodies.join(todo, ["h", "base"]).mapInPandas(_blocks(n), "h binary, base int, lo int, hi int, t long, u long, core long")
     part = F.struct("h", "base", "lo", "hi")
@@ -208,7 +239,7 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     done = done.unionByName(blocks.where("t = 1").join(parts.where("t > 1").select("u"), "u", "left_semi").select("h", "lo", "hi"))
 
     open_cores = parts.groupBy("core").agg(F.sum("t").alias("all"), F.max(F.col("t") == 1).alias("open")).where("all > 1 and open").select("core")
-    todo = parts.join(open_cores, "core", "left_semi").select("at.*", "t").groupBy("h", "base").agg(F.collect_list(F.struct("lo", "hi", "t")).alias("todo"))
+    todo = parts.join(open_cores, "core", "left_semi").select("at.*", "t").groupBy("h", "base").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("lo", "hi", "t")])
     windows = stored(bodies.join(todo, ["h", "base"]).mapInPandas(_windows(n), "h binary, lo int, t long, w long"), "windows")
     again = windows.groupBy("w").agg(F.sum("t").alias("t")).where("t > 1").select("w")
     done = done.unionByName(windows.where("t = 1").join(again, "w", "left_semi").select("h", "lo", F.col("lo").alias("hi")))
