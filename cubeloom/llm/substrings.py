@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import stored, written
 
 Q = 64
 STEP = 32
@@ -105,6 +105,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _each(h: bytes, n: int) -> np.ndarray:
+    """h n times, as an object: numpy's own byte strings lose their last zeros."""
+    out = np.empty(n, object)
+    out[:] = [h] * n
+    return out
+
+
 def _file(n: int):
     """One row per distinct anchor of a batch."""
 
@@ -187,7 +194,7 @@ def _blocks(n: int):
                 lo, hi = np.maximum(lo, last - STEP + 1), np.minimum(hi, last)
                 u = _mix(_mix(stretch(ids, lo - base, hi - lo + n, 256), (p - lo).astype(np.uint64), 25), (p - hi + n).astype(np.uint64), 26)
                 c = _mix(stretch(ids, last - base, np.full(len(p), n - STEP + 1), 256), g.astype(np.uint64), 27)
-                yield from rows.add(50 * len(p), np.full(len(p), h, object), np.full(len(p), base, np.int32), lo.astype(np.int32), hi.astype(np.int32), t, _signed(u), _signed(c))
+                yield from rows.add(50 * len(p), _each(h, len(p)), np.full(len(p), base, np.int32), lo.astype(np.int32), hi.astype(np.int32), t, _signed(u), _signed(c))
         yield from rows.flush()
 
     return run
@@ -203,7 +210,7 @@ def _windows(n: int):
                 many = hi - lo + 1
                 s = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
                 w = stretch(ids, s - base, np.full(len(s), n), 256)
-                yield from rows.add(30 * len(s), np.full(len(s), h, object), s.astype(np.int32), np.repeat(t, many), _signed(w))
+                yield from rows.add(30 * len(s), _each(h, len(s)), s.astype(np.int32), np.repeat(t, many), _signed(w))
         yield from rows.flush()
 
     return run
@@ -217,12 +224,12 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     long_enough = docs.where(F.length("text") >= n).withColumn("doc_id", number)
     filed = long_enough.select("h", "doc_id", "text").mapInPandas(_file(n), "h binary, rep long, p int, lo int, hi int, key long")
-    filed = stored(filed.groupBy("h", "p", "lo", "hi", "key").agg(F.count("*").alias("c"), F.min("rep").alias("rep")), "anchors")
+    filed = written(filed.groupBy("h", "p", "lo", "hi", "key").agg(F.count("*").alias("c"), F.min("rep").alias("rep")), "anchors")
     shared = filed.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
     live = filed.join(shared, "key", "left_semi")
     lists = live.groupBy("h").agg(F.min("rep").alias("doc_id"), *[F.collect_list(c).alias(f"{c}s") for c in ("p", "lo", "hi", "c", "key")])
     region = "h binary, base int, body binary, ps array<int>, los array<int>, his array<int>, cs array<long>, keys array<long>, wholes array<long>"
-    regions = stored(long_enough.select("h", "doc_id", "text").join(lists, ["h", "doc_id"]).mapInPandas(_regions(n), region), "regions")
+    regions = written(long_enough.select("h", "doc_id", "text").join(lists, ["h", "doc_id"]).mapInPandas(_regions(n), region), "regions")
 
     each = regions.select("h", "base", F.explode(F.arrays_zip(*_LISTS)).alias("a")).select("h", "base", *[F.col(f"a.{c}").alias(c[:-1]) for c in _LISTS])
     place = F.struct("h", "base", "p", "lo", "hi")
