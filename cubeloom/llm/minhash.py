@@ -33,16 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm._common import mix, stored
-from cubeloom.llm.components import components
+from cubeloom.llm.counters import MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
+from cubeloom.llm.lsh import linked_components
 
 WIDTH = 5
 BANDS, ROWS = 12, 3
-BITS = 20
-PARTS = 64
-_SLOT = (1 << BITS) // PARTS
 AGREE = 20 / 36
-BLOCK = 4000
 _DRAW = np.random.default_rng(7)
 _STEP = [np.uint64(int(x) | 1) for x in _DRAW.integers(0, 1 << 64, WIDTH, dtype=np.uint64)]
 _TURN = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -51,26 +48,13 @@ _LOG_C = np.log(_DRAW.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _BETA = _DRAW.random(1 << 16).astype(np.float32)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def shingles(text: bytes | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct 32-bit shingles in order, their numbers, and a 63-bit name of the word sequence.
 
     A text without words has none, and is named by its bytes.
     """
     ws = words(text)
-    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+    h = word_hashes(ws)
     if not len(h):
         return np.empty(0, np.uint32), np.empty(0, np.uint32), xxhash.xxh64_intdigest(text or b"", 1) >> 1
     n = max(1, len(h) - width + 1)
@@ -81,52 +65,13 @@ def shingles(text: bytes | None, width: int = WIDTH) -> tuple[np.ndarray, np.nda
     return ids, counts.astype(np.uint32), xxhash.xxh64_intdigest(h.tobytes()) >> 1
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Counters of documents per shingle hash, and the number of documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size, docs = np.zeros(1 << BITS, np.uint32), [], 0, 0
-
-        def add() -> None:
-            nonlocal total, held, size
-            if held:
-                total += np.bincount(np.concatenate(held) & np.uint32((1 << BITS) - 1), minlength=1 << BITS).astype(np.uint32)
-                held, size = [], 0
-
-        for pdf in batches:
-            for t in pdf["text"]:
-                ids = shingles(t)[0]
-                held.append(ids)
-                size += len(ids)
-                docs += 1
-                if size > 2_000_000:
-                    add()
-        add()
-        if docs:
-            salt = int(_TURN[docs % len(_TURN)] >> np.uint64(59))
-            yield pd.DataFrame({"part": np.arange(PARTS), "salt": salt, "docs": docs, "body": [total[i * _SLOT : (i + 1) * _SLOT].astype(np.uint64).tobytes() for i in range(PARTS)]})
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        body = sum(np.frombuffer(b, np.uint64) for b in pdf["body"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "docs": [pdf["docs"].sum()], "body": [body.tobytes()]})
-
-    # Counters of a task are added in two steps, so the second adds 32 of a part at most.
-    schema = "part int, docs long, body binary"
-    rows = texts.mapInPandas(count, "part int, salt int, docs long, body binary").groupBy("part", "salt").applyInPandas(add_up, schema).groupBy("part").applyInPandas(add_up, schema).collect()
-    out, docs = np.zeros(1 << BITS, np.uint64), 0
-    for r in rows:
-        out[r["part"] * _SLOT : (r["part"] + 1) * _SLOT] = np.frombuffer(r["body"], np.uint64)
-        docs = r["docs"]
-    return out, docs
-
-
 def inverse_frequencies(frequency: np.ndarray, docs: int) -> np.ndarray:
     return (np.log((1.0 + docs) / (1.0 + np.minimum(frequency, docs))) + 1.0).astype(np.float32)
 
 
 def samples(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """ICWS: for each sample the hash of (feature, quantised weight) of least ln a."""
-    best, out = np.full(len(_TURN), np.inf, np.float32), np.zeros(len(_TURN), np.uint32)
+    """ICWS: for each sample 16 bits of the hash of (feature, quantised weight) of least ln a."""
+    best, out = np.full(len(_TURN), np.inf, np.float32), np.zeros(len(_TURN), np.uint16)
     at = np.arange(len(_TURN))
     for c in range(0, len(ids), 8192):
         h, log_w = mix(ids[c : c + 8192].astype(np.uint64) + np.uint64(1)), np.log(weight[c : c + 8192])
@@ -138,44 +83,25 @@ def samples(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
         low = a[at, k]
         better = low < best
         best[better] = low[better]
-        found = mix(h[k] + t[at, k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
+        found = mix(h[k] + t[at, k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint16)
         out[better] = found[better]
     return out
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     x, y = np.frombuffer(a, np.uint32).reshape(2, -1), np.frombuffer(b, np.uint32).reshape(2, -1)
-    low = np.uint32((1 << BITS) - 1)
-    wx, wy = x[1] * idf[x[0] & low].astype(np.float64), y[1] * idf[y[0] & low].astype(np.float64)
+    wx, wy = x[1] * idf[x[0] & MASK].astype(np.float64), y[1] * idf[y[0] & MASK].astype(np.float64)
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     both = np.minimum(wx[i], wy[j]).sum()
     return both / max(wx.sum() + wy.sum() - both, 1e-12)
 
 
-def _agreeing(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair that differ in component and agree in enough samples."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    out = []
-    if len(left) and len(right):
-        x = np.frombuffer(b"".join(left["sig"]), np.uint32).reshape(len(left), -1)
-        y = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(len(right), -1)
-        xk, yk, xc, yc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
-        for at in range(0, len(x), 256):
-            same = np.zeros((len(x[at : at + 256]), len(y)), np.uint8)
-            for s in range(x.shape[1]):
-                same += x[at : at + 256, s, None] == y[None, :, s]
-            i, j = np.nonzero((same >= AGREE * x.shape[1]) & (xc[at : at + 256, None] != yc[None, :]))
-            out.append(pd.DataFrame({"a": np.minimum(xk[at + i], yk[j]), "b": np.maximum(xk[at + i], yk[j])}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: int = 300_000) -> DataFrame:
     """One row per document: doc_id, class_id, kept (its class's smallest doc_id)."""
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    frequency, total = document_frequencies(base.select("text"))
+    frequency, total = document_frequencies(base.select("text"), lambda t: shingles(t)[0])
     idf = spark.sparkContext.broadcast(inverse_frequencies(frequency, total))
-    low = np.uint32((1 << BITS) - 1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,22 +109,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             for t in pdf["text"]:
                 ids, counts, k = shingles(t)
                 ks.append(k)
-                sigs.append(samples(ids, counts * idf.value[ids & low]).tobytes() if len(ids) else None)
+                sigs.append(samples(ids, counts * idf.value[ids & MASK]).tobytes() if len(ids) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": ks, "sig": sigs})
 
     of_doc = stored(base.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, sig binary"), "samples")
     texts = stored(of_doc.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "texts")
-    band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * ROWS * 4, ROWS * 4)) for b in range(BANDS)]
-    in_band = texts.select("k", "sig", F.explode(F.array(*band)).alias("bucket"))
-    buckets = stored(in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("k", "sig")).alias("first")).where("n > 1"), "buckets")
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("sig_a", "sig"))
-            yield pdf[(x == y).mean(1) >= AGREE][["a", "b"]]
-
-    first = in_band.join(buckets, "bucket").where(F.col("k") != F.col("first.k")).select(F.col("first.k").alias("a"), F.col("first.sig").alias("sig_a"), F.col("k").alias("b"), "sig")
-    pairs = stored(first.mapInPandas(agree, "a long, b long").distinct(), "pairs")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,40 +123,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 if own == k:
                     ks.append(k)
                     vecs.append(ids.tobytes() + counts.tobytes())
-            yield pd.DataFrame({"k": ks, "vec": vecs}).astype({"k": "int64"})
-
-    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[[weighted_jaccard(x, y, idf.value) >= similarity for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
-
-        with_a = pairs.join(known.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
-        return with_a.join(known.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb").mapInPandas(check, "a long, b long")
-
-    number = F.coalesce("doc_id", F.lit(-(1 << 63)))
-
-    def vectors_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct().join(texts.select("k", "doc_id"), "k")
-        by_id = base.withColumn("doc_id", number).join(wanted.withColumn("doc_id", number), "doc_id").select("k", "text")
-        return stored(by_id.mapInPandas(vectors, "k long, vec binary").dropDuplicates(["k"]), "vectors")
-
-    links = stored(verified(pairs, vectors_of(pairs)), "links")
-    roots = components(links).select(F.col("node").alias("k"), "root")
-
-    # Buckets that still hold several components: members of different ones, block by block.
-    member = in_band.join(buckets.select("bucket", "n"), "bucket").where("n > 2").join(roots, "k", "left").select("bucket", "n", "k", "sig", F.coalesce("root", "k").alias("root"))
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    split = member.join(mixed, "bucket").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    spread = split.select("bucket", "k", "sig", "root", "own", other)
-    left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "sig", "root")
-    right = spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", "sig", "root")
-    more = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_agreeing, "a long, b long").where("a <> b").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = stored(links.unionByName(verified(more, vectors_of(more))), "links")
-        roots = components(links).select(F.col("node").alias("k"), "root")
+            yield pd.DataFrame({"k": np.array(ks, np.int64), "vec": vecs})
+
+    def vectors_of(names: DataFrame) -> DataFrame:
+        wanted = texts.select("k", F.col("doc_id").alias("_doc")).join(names, "k")
+        if names.count() <= most_broadcast:  # as many rows of two numbers
+            wanted = F.broadcast(wanted)
+        found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_doc"])).select("k", "text")
+        return found.mapInPandas(vectors, "k long, vec binary").dropDuplicates(["k"])
 
+    roots = linked_components(texts, BANDS, ROWS, AGREE, vectors_of, lambda a, b: weighted_jaccard(a, b, idf.value) >= similarity)
     rooted = of_doc.select("doc_id", "k").join(roots, "k", "left").select("doc_id", F.coalesce("root", "k").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(classes, "root").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import embeddings, html, licenses, minhash, packing, quality, substrings, toxicity
+from cubeloom.llm import decontaminate, embeddings, html, licenses, lines, minhash, packing, quality, substrings, toxicity
 from cubeloom.llm._common import read
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_duplicate_lines(read(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(read(spark, sf_dir, "pages"))
 
@@ -38,11 +42,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_html": op2_html,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
@@ -50,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embeddings": op6_embeddings,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
+    "op9_decontaminate": op9_decontaminate,
     "op10_substrings": op10_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
