@@ -15,14 +15,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cubeloom.llm._common import held_out_column, labelled_sample
 
@@ -118,22 +116,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Toxicity
     return fit(texts, y)
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs' columns, with score in place of any column of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("score")
-    schema = StructType([*base.schema, StructField("score", DoubleType())])
+def scorer(spark: SparkSession, model: ToxicityModel):
+    """A column function from text to score; null texts count as empty."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
         m = shared.value
-        for pdf in batches:
-            pdf["score"] = [m.score(t) for t in pdf["text"]]
-            yield pdf
+        return pd.Series([m.score(t) for t in text], dtype="float64")
 
-    return base.mapInPandas(run, schema)
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    scored = score_documents(docs.select("doc_id", "text"), train(docs, labels, per_class)).drop("text")
+    score = scorer(docs.sparkSession, train(docs, labels, per_class))
+    scored = docs.select("doc_id", score("text").alias("score"))
     return scored.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
