@@ -71,6 +71,19 @@ def written(df: DataFrame, name: str = "t", spread: int = 8) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def flat(df: DataFrame, name: str = "t") -> DataFrame:
+    """df made once, counted and written, in a file per 100,000 rows (of a million, in
+    tables beyond two files per core): cuts lineage and plan without many small files."""
+    spark = df.sparkSession
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    files = max(1, min(n // 100_000, 2 * cores(spark)), n // 1_000_000)
+    path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
+    kept.coalesce(files).write.option("compression", "zstd").parquet(path)
+    kept.unpersist()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def held_out_column(doc_id: str = "doc_id"):
     """True for rows whose crc32(doc_id as text) mod 3 is 1."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1

@@ -1,6 +1,7 @@
-"""Connected components of an edge table: alternating large-star and small-star steps.
+"""Connected components of an edge table.
 
-Each partition first replaces its edges by the spanning stars of its own
+Up to ``one_task`` edges (16 bytes each) one task joins them by union-find. More
+go through alternating large-star and small-star steps. Each partition first replaces its edges by the spanning stars of its own
 union-find. Every round is written to the shared folder, so no round depends on
 the executors that made the one before, and nothing is gathered on the driver
 but two sums per round.
@@ -29,27 +30,32 @@ def _local_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = p
         return root
 
+    def known() -> pd.DataFrame:
+        nodes = list(parent.keys() | set(parent.values()))
+        return pd.DataFrame({"a": nodes, "b": [find(n) for n in nodes]}, dtype="int64")
+
     for pdf in batches:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
         if len(parent) > 2_000_000:  # hand on what is known and start anew
-            yield pd.DataFrame([(n, find(n)) for n in list(parent)], columns=["a", "b"])
+            yield known()
             parent.clear()
     if parent:
-        yield pd.DataFrame([(n, find(n)) for n in list(parent)], columns=["a", "b"])
+        yield known()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, one_task: int = 1_000_000) -> DataFrame:
     """node, root of every node of edges(a, b); root is the smallest node reachable.
 
     a and b are integers; rows with a null end or equal ends are passed over, so
     nodes without another end do not appear.
     """
     clean = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a <> b")
-    hi_lo = clean.mapInPandas(_local_stars, "a long, b long").where("a <> b").distinct()
-    stars = written(hi_lo, "stars")
+    if clean.limit(one_task + 1).count() <= one_task:
+        return clean.coalesce(1).mapInPandas(_local_stars, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    stars = written(clean.mapInPandas(_local_stars, "a long, b long").where("a <> b").distinct(), "stars")
     state = None
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import flat, stored
 from cubeloom.llm.components import components
 
 BLOCK = 4000
@@ -57,7 +57,7 @@ def linked_components(
     """
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
-    buckets = stored(in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1"), "buckets")
+    buckets = flat(in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1"), "buckets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,7 +68,7 @@ def linked_components(
         vectors = stored(vectors_of(names), "vectors")
         with_a = pairs.join(vectors.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
         both = with_a.join(vectors.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b")
-        return stored(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
+        return flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,7 +78,7 @@ def linked_components(
     slim = in_band.join(buckets.select("bucket", "first"), "bucket").where(F.col("k") != F.col("first"))
     stars = slim.select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
     signed = stars.join(items.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(items.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = stored(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
+    pairs = flat(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
     links = verified(pairs)
     roots = components(links)
 
@@ -90,7 +90,7 @@ def linked_components(
     left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "sig", "root")
     right = spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", "sig", "root")
     more = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_agreeing(agree), "a long, b long").where("a <> b").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = flat(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         roots = components(links.unionByName(verified(more)))
     return roots.select(F.col("node").alias("k"), "root")

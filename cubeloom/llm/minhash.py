@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import mix, stored
+from cubeloom.llm._common import flat, mix
 from cubeloom.llm.counters import MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
 from cubeloom.llm.lsh import linked_components
@@ -112,8 +112,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
                 sigs.append(samples(ids, counts * idf.value[ids & MASK]).tobytes() if len(ids) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": ks, "sig": sigs})
 
-    of_doc = stored(base.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, sig binary"), "samples")
-    texts = stored(of_doc.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "texts")
+    of_doc = flat(base.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, sig binary"), "samples")
+    texts = flat(of_doc.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "texts")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
