@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of 64 words, 32 apart, over whole documents; items are the
+Passages are windows of 32 words, 16 apart, over whole documents; items are the
 benchmark's texts. Words are hashed to 2^20 features and weighted by the square
 root of their number times the inverse document frequency over all documents.
 
-A passage can have a cosine of c with an item only if the features that occur in
-any item make up c of its length; others are passed over. The rest form a sparse
-matrix A. A distributed randomised SVD of A (a block of random vectors sent
+A passage can have a cosine of 0.5 with an item only if the features that occur in
+any item make up half of its length; others are passed over. A copy of 15 words
+makes up more than that of the window it lies in. The rest form a sparse matrix A. A distributed randomised SVD of A (a block of random vectors sent
 through A'A, a power step, an orthonormal basis Q, then the eigenvectors of
 Q'A'AQ) gives the latent space. The block is seeded with the items, so their own
 directions are in Q and a verbatim copy is never projected away.
@@ -30,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import stored, written
+from cubeloom.llm._common import flat, stored
 from cubeloom.llm.counters import BITS, MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
 
-WINDOW, STRIDE = 64, 32
-LEAST_SHARE = 0.25
+WINDOW, STRIDE = 32, 16
+LEAST_SHARE = 0.5
 LEAST_COSINE = 0.45
 LEAST_COVER = 0.3
 RANDOM = 48
@@ -50,7 +50,7 @@ def features(ws: list[bytes]) -> np.ndarray:
 def answer_length(text: str, total: int) -> int:
     """Words of the last sentence; of the last third if there is one sentence only."""
     parts = [p for p in _SENTENCE.split(text.strip()) if words(p.encode())]
-    return len(words(parts[-1].lower().encode())) if len(parts) > 1 else max(1, total // 3)
+    return len(words(parts[-1].encode())) if len(parts) > 1 else max(1, total // 3)
 
 
 def common_subsequence(masks: dict, other: list, size: int) -> int:
@@ -121,10 +121,36 @@ def gram_product(passages: DataFrame, block: np.ndarray) -> np.ndarray:
         if total.any():
             yield pd.DataFrame({"salt": [salt], "body": [total.tobytes()]})
 
+    return _added_up(passages, run, shape)
+
+
+def projected_gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(A basis)'(A basis)."""
+    shared = passages.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
+    width = basis.shape[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, salt = np.zeros((width, width)), 0
+        for whole in batches:
+            for c in range(0, len(whole), 1000):
+                ids, weight, starts, _ = _rows(whole.iloc[c : c + 1000])
+                through = np.add.reduceat(shared.value[ids] * weight[:, None].astype(np.float32), starts)
+                total += through.T @ through
+                salt = (salt * 31 + len(ids)) % 61
+        if total.any():
+            yield pd.DataFrame({"salt": [salt], "body": [total.tobytes()]})
+
+    return _added_up(passages, run, (width, width))
+
+
+def _added_up(passages: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
+    """Sum of the matrices that run() makes of the passages, in two steps."""
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"salt": [0], "body": [sum(np.frombuffer(b) for b in pdf["body"]).tobytes()]})
+        return pd.DataFrame({"salt": np.zeros(1, np.int32), "body": [sum(np.frombuffer(b) for b in pdf["body"]).tobytes()]})
 
-    found = passages.select("ids", "weights").mapInPandas(run, "salt int, body binary").groupBy("salt").applyInPandas(add, "salt int, body binary").groupBy("salt").applyInPandas(add, "salt int, body binary").collect()
+    kind = "salt int, body binary"
+    found = passages.select("ids", "weights").mapInPandas(run, kind).groupBy("salt").applyInPandas(add, kind).groupBy("salt").applyInPandas(add, kind).collect()
     return np.frombuffer(found[0]["body"]).reshape(shape) if found else np.zeros(shape)
 
 
@@ -135,7 +161,7 @@ def latent_basis(passages: DataFrame, items: np.ndarray, random: int = RANDOM) -
     seeded = _orthonormal(gram_product(passages, draw))
     seeded = _orthonormal(gram_product(passages, seeded)) if seeded.shape[1] else seeded
     q = _orthonormal(np.concatenate([items.T, seeded], 1))
-    values, vectors = np.linalg.eigh(q.T @ gram_product(passages, q))
+    values, vectors = np.linalg.eigh(projected_gram(passages, q))
     return q @ vectors[:, np.argsort(-values)]
 
 
@@ -155,15 +181,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, need: float = 0.6, need_answer:
     """One row per document and benchmark item that it holds: doc_id, item_id,
     cosine (latent), overlap (share of the item's words in order), answer (share of its answer's)."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    frequency, total = document_frequencies(base.select("text"), lambda t: np.unique(features(words(t))))
+    frequency, total = document_frequencies(base.select("text"), lambda t: np.unique(features(list(set(words(t))))))
     idf = np.log((1.0 + total) / (1.0 + np.minimum(frequency, total))).astype(np.float32)
     shared_idf = spark.sparkContext.broadcast(idf)
     schema = f"doc_id {id_type}, item_id {item_type}, cosine double, overlap double, answer double"
     out = spark.createDataFrame([], schema)
-    read = ((r["item_id"], words((r["text"] or "").lower().encode()), r["text"] or "") for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator())
+    read = ((r["item_id"], words((r["text"] or "").encode()), r["text"] or "") for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator())
     for block in _blocks(it for it in read if it[1]):
         out = out.unionByName(_block_leaks(base, block, shared_idf, schema, id_type, need, need_answer, most_broadcast))
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "overlap", "answer")])
@@ -205,7 +231,7 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
                     rows.append((doc_id, int(start[k]), float(np.sqrt(norm[k])), ids.astype(np.int32), w.astype(np.float32)))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "norm", "ids", "weights"])
 
-    passages = written(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>"), "passages")
+    passages = flat(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>"), "passages")
     basis = latent_basis(passages, items)
     latent = items @ basis
     shared = spark.sparkContext.broadcast((basis.astype(np.float32), latent.astype(np.float32), lengths.astype(np.float32)))
