@@ -16,7 +16,8 @@ def pick(body: Column, columns: list[int], source: str = "\x02", target: str = "
     """Columns by index, each followed by the target separator; a missing one is
     empty, a null body stays null. A body is bytes or text."""
     cells = pieces(body, source)
-    return F.concat(*[x for i in columns for x in (F.coalesce(F.get(cells, F.lit(i)), F.lit("")), F.lit(target))]).cast("binary")
+    out = F.concat(*[x for i in columns for x in (F.coalesce(F.get(cells, F.lit(i)), F.lit("")), F.lit(target))])
+    return F.when(body.isNotNull(), out).cast("binary")
 
 
 def fill(body: Column, template: str, source: str = "\x02") -> Column:
