@@ -29,7 +29,7 @@ from cubeloom.llm.lsh import linked_components
 
 WIDTH = 8
 BANDS, ROWS = 9, 3
-AGREE = 0.5
+AGREE = 15 / 27
 _DRAW = np.random.default_rng(1)
 _TIMES = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _PLUS = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -132,12 +132,11 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8, most_broadcas
     """One row per line that is not blank: doc_id, line, class_doc_id, class_line, kept."""
     table = written(line_table(docs), "lines")
     place = F.struct("doc_id", "line")
-    items = written(table.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig")), "items")
-    firsts = table.groupBy("k").agg(F.min(place).alias("at"))
+    items = written(table.groupBy("k").agg(F.any_value("sig", True).alias("sig"), F.min(place).alias("at")), "items")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def vectors_of(names: DataFrame) -> DataFrame:
-        wanted = firsts.join(names, "k").select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.line").alias("line"), "k").alias("w"))
+        wanted = items.select("k", "at").join(names, "k").select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.line").alias("line"), "k").alias("w"))
         wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
         if names.count() <= most_broadcast:  # at most as many rows, of two numbers a line
             wanted = F.broadcast(wanted)

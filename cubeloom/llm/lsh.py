@@ -1,12 +1,13 @@
 """Banded candidates and their exact verification, without the pairs of a bucket.
 
 Items have an integer name k and a signature of ``bands * rows`` 16-bit samples.
-Items that share a whole band are candidates, in two rounds:
+Items that share a whole band are candidates, in rounds:
 
 1. each member of a bucket with the bucket's smallest member, a number of pairs
    that grows with the items; these are verified and their components found;
-2. buckets that still hold several components: members of different components,
-   in blocks of bounded size, where enough samples agree. They are verified too.
+2. in buckets that still hold several components, members of different components
+   whose samples agree often enough, in blocks of bounded size: first each one's
+   closest few, which join most of a group of variants, then all that still differ.
 
 What shares a bucket and a component needs no pair, so a group of copies, however
 large, costs its own size; and no link between different components is lost.
@@ -25,23 +26,58 @@ from cubeloom.llm._common import flat, stored
 from cubeloom.llm.components import components
 
 BLOCK = 4000
+SMALL = 200
+FIRST = 3
 
 
-def _agreeing(least: float):
+def _differing(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of signatures in different components that agree enough; with
+    ``most``, for each x the closest few only."""
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for s in range(x.shape[1]):
+        same += x[:, s, None] == y[None, :, s]
+    fit = (same >= least * x.shape[1]) & (xc[:, None] != yc[None, :])
+    if most is not None and len(y) > most:
+        rank = np.where(fit, same, 0)
+        best = np.argpartition(-rank.astype(np.int16), most - 1, axis=1)[:, :most]
+        i = np.repeat(np.arange(len(x)), most)
+        j = best.ravel()
+        keep = fit[i, j]
+        return i[keep], j[keep]
+    return np.nonzero(fit)
+
+
+def _pairs(xk: np.ndarray, yk: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(xk[i], yk[j]), "b": np.maximum(xk[i], yk[j])})
+
+
+def _signs(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), -1)
+
+
+def _blockwise(least: float, most: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair that differ in component and agree in enough samples."""
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = []
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
         if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(len(d), -1) for d in (left, right))
+            x, y = _signs(left["sig"].tolist()), _signs(right["sig"].tolist())
             xk, yk, xc, yc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
             for at in range(0, len(x), 256):
-                same = np.zeros((len(x[at : at + 256]), len(y)), np.uint8)
-                for s in range(x.shape[1]):
-                    same += x[at : at + 256, s, None] == y[None, :, s]
-                i, j = np.nonzero((same >= least * x.shape[1]) & (xc[at : at + 256, None] != yc[None, :]))
-                out.append(pd.DataFrame({"a": np.minimum(xk[at + i], yk[j]), "b": np.maximum(xk[at + i], yk[j])}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                i, j = _differing(x[at : at + 256], y, xc[at : at + 256], yc, least, most)
+                out.append(_pairs(xk[at : at + 256], yk, i, j))
+        return pd.concat(out).drop_duplicates()
+
+    return run
+
+
+def _rowwise(least: float, most: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+            for ks, roots, sigs in zip(pdf["ks"], pdf["roots"], pdf["sigs"], strict=True):
+                x, k, c = _signs(list(sigs)), np.asarray(ks), np.asarray(roots)
+                out.append(_pairs(k, k, *_differing(x, x, c, c, least, most)))
+            yield pd.concat(out).drop_duplicates()
 
     return run
 
@@ -57,7 +93,9 @@ def linked_components(
     """
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
-    buckets = flat(in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1"), "buckets")
+    buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
+    shared = flat(in_band.join(buckets, "bucket"), "shared")
+    live = flat(items.join(shared.select("k").distinct(), "k", "left_semi").select("k", "sig"), "live")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,29 +106,38 @@ def linked_components(
         vectors = stored(vectors_of(names), "vectors")
         with_a = pairs.join(vectors.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
         both = with_a.join(vectors.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b")
-        return flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
+        found = flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
+        vectors.unpersist()
+        return found
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
-            yield pdf[(x == y).mean(1) >= agree][["a", "b"]]
-
-    slim = in_band.join(buckets.select("bucket", "first"), "bucket").where(F.col("k") != F.col("first"))
-    stars = slim.select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
-    signed = stars.join(items.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(items.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = flat(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
-    links = verified(pairs)
-    roots = components(links)
-
-    crowded = in_band.join(buckets.where("n > 2").select("bucket", "n"), "bucket")
-    member = crowded.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("bucket", "n", "k", F.coalesce("root", "k").alias("root"))
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    split = member.join(mixed, "bucket").join(items.select("k", "sig"), "k").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    spread = split.select("bucket", "k", "sig", "root", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "sig", "root")
-    right = spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", "sig", "root")
-    more = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_agreeing(agree), "a long, b long").where("a <> b").distinct()
-    more = flat(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        roots = components(links.unionByName(verified(more)))
-    return roots.select(F.col("node").alias("k"), "root")
+            if len(pdf):
+                x, y = _signs(pdf["sig_a"].tolist()), _signs(pdf["sig_b"].tolist())
+                yield pdf[(x == y).mean(1) >= agree][["a", "b"]]
+
+    def between_components(roots: DataFrame, most: int | None) -> DataFrame:
+        member = shared.where("n > 2").join(roots, "k", "left").select("bucket", "n", "k", F.coalesce("root", "k").alias("root"))
+        mixed = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        split = member.join(mixed, "bucket").join(live, "k")
+        small = split.where(F.col("n") <= SMALL).groupBy("bucket").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("k", "root", "sig")])
+        large = split.where(F.col("n") > SMALL).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+        spread = large.select("bucket", "k", "sig", "root", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+        left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "sig", "root")
+        right = spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", "sig", "root")
+        found = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_blockwise(agree, most), "a long, b long")
+        return found.union(small.mapInPandas(_rowwise(agree, most), "a long, b long")).where("a <> b").distinct()
+
+    stars = shared.where(F.col("k") != F.col("first")).select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
+    signed = stars.join(live.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(live.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
+    tried = flat(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
+    links = verified(tried)
+    for most in (FIRST, None):
+        roots = components(links).select(F.col("node").alias("k"), "root")
+        more = flat(between_components(roots, most).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            if most is None:
+                break
+            continue
+        tried, links = tried.union(more), links.union(verified(more))
+    return components(links).select(F.col("node").alias("k"), "root")
