@@ -34,11 +34,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     gone = lines.near_duplicate_lines(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]), "left")
-    parts, lost = F.split("text", "\n", -1), gone["__gone"]
+    parts, lost = F.split(docs["text"], "\n", -1), gone["__gone"]
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
     text = F.when(lost.isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    new = {"text": text} | ({"n_chars": F.when(lost.isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    cut = joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], lost.isNotNull().alias("__cut"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.drop("__cut")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

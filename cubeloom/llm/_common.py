@@ -96,6 +96,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def spanning_stars(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of a link matrix, the first column of their component."""
+    rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    of_row, of_col = np.full(mask.shape[0], -1), np.full(mask.shape[1], -1)
+    if len(rows):
+        sub = mask[np.ix_(rows, cols)]
+        far = len(cols)
+        lab = np.arange(far)
+        while True:
+            r = np.where(sub, lab, far).min(1)
+            new = np.minimum(lab, np.where(sub, r[:, None], far).min(0))
+            if (new == lab).all():
+                break
+            lab = new
+        of_row[rows], of_col[cols] = cols[r], cols[lab]
+    return of_row, of_col
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, seed: int):
     """(text, y) rows to learn from: at most per_class of each label.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import spanning_stars, stored
 from cubeloom.llm.components import components
 
 BLOCK = 3000
@@ -53,24 +53,6 @@ def _matrix(raw: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def _stars(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the rows and the columns of a link matrix, the first column of their component."""
-    rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-    of_row, of_col = np.full(mask.shape[0], -1), np.full(mask.shape[1], -1)
-    if len(rows):
-        sub = mask[np.ix_(rows, cols)]
-        far = len(cols)
-        lab = np.arange(far)
-        while True:
-            r = np.where(sub, lab, far).min(1)
-            new = np.minimum(lab, np.where(sub, r[:, None], far).min(0))
-            if (new == lab).all():
-                break
-            lab = new
-        of_row[rows], of_col[cols] = cols[r], cols[lab]
-    return of_row, of_col
-
-
 def _join_blocks(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         home, probe = pdf[pdf["home"]], pdf[~pdf["home"]]
@@ -84,7 +66,7 @@ def _join_blocks(cosine: float):
                 if not mask.any():
                     continue
                 count = mask @ mult
-                row, col = _stars(mask)
+                row, col = spanning_stars(mask)
                 p, c = row >= 0, col >= 0
                 out.append(pd.DataFrame({"rep": pid[p], "n": count[p], "to": hid[row[p]]}))
                 out.append(pd.DataFrame({"rep": hid[c], "n": np.zeros(c.sum(), np.int64), "to": hid[col[c]]}))

@@ -89,15 +89,8 @@ def signatures(lines: list[bytes]) -> list[bytes]:
     return out
 
 
-def _jaccard_at_least(similarity: float):
-    def similar(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= similarity * (len(x) + len(y) - both)
-
-    return similar
+def _unpack(vec: bytes) -> tuple[np.ndarray, None]:
+    return np.frombuffer(vec, np.uint32), None
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -155,7 +148,7 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8, most_broadcas
 
         return base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInPandas(run, "k long, vec binary").dropDuplicates(["k"])
 
-    roots = linked_components(items, BANDS, ROWS, AGREE, vectors_of, _jaccard_at_least(similarity))
+    roots = linked_components(items, BANDS, ROWS, AGREE, vectors_of, _unpack, similarity)
     rooted = table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root"))
     classes = rooted.groupBy("root").agg(F.min(place).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))

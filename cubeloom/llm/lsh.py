@@ -5,9 +5,11 @@ Items that share a whole band are candidates, in rounds:
 
 1. each member of a bucket with the bucket's smallest member, a number of pairs
    that grows with the items; these are verified and their components found;
-2. in buckets that still hold several components, members of different components
-   whose samples agree often enough, in blocks of bounded size: first each one's
-   closest few, which join most of a group of variants, then all that still differ.
+2. in buckets that still hold several components, each member with the closest few
+   of other components by agreement of samples, which joins most groups of variants;
+3. in those that hold several components yet, all members of different components:
+   small buckets as pairs, large ones by products of their feature matrices, block
+   by block, from which only spanning stars of the links come back.
 
 What shares a bucket and a component needs no pair, so a group of copies, however
 large, costs its own size; and no link between different components is lost.
@@ -22,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import flat, stored
+from cubeloom.llm._common import flat, spanning_stars, stored
 from cubeloom.llm.components import components
 
 BLOCK = 4000
-SMALL = 200
+EXACT_BLOCK = 500
+SMALL = 64
 FIRST = 3
+Vector = tuple[np.ndarray, np.ndarray | None]
 
 
 def _differing(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +86,76 @@ def _rowwise(least: float, most: int | None):
     return run
 
 
+def _share(x: Vector, y: Vector) -> float:
+    """Weighted Jaccard similarity of two vectors: sorted features, and their weights
+    (1 each for None), which depend on the feature alone."""
+    wx, wy = (len(v[0]) if v[1] is None else float(v[1].sum(dtype=np.float64)) for v in (x, y))
+    _, i, _ = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = len(i) if x[1] is None else float(x[1][i].sum(dtype=np.float64))
+    return both / max(wx + wy - both, 1e-12)
+
+
+def _dense(vectors: list[Vector], features: np.ndarray, weighted: bool) -> np.ndarray:
+    out = np.zeros((len(vectors), len(features)), np.float32)
+    for r, (ids, w) in enumerate(vectors):
+        at = np.searchsorted(features, ids)
+        at[at == len(features)] = 0
+        hit = features[at] == ids
+        out[r, at[hit]] = w[hit] if weighted and w is not None else 1.0
+    return out
+
+
+def link_matrix(left: list[Vector], right: list[Vector], apart: np.ndarray, similarity: float) -> np.ndarray:
+    """True where a pair that is apart reaches the similarity."""
+    known = np.unique(np.concatenate([v[0] for v in right]))
+    weight = [np.array([len(v[0]) if v[1] is None else v[1].sum(dtype=np.float64) for v in side]) for side in (left, right)]
+    out = np.zeros(apart.shape, bool)
+    for a in range(0, len(left), 128):
+        some = left[a : a + 128]
+        features = np.intersect1d(np.concatenate([v[0] for v in some]), known)
+        if not len(features):
+            continue
+        x, step = _dense(some, features, True), max(16, 8_000_000 // len(features))
+        for b in range(0, len(right), step):
+            both = (x @ _dense(right[b : b + step], features, False).T).astype(np.float64)
+            j = both / np.maximum(weight[0][a : a + 128, None] + weight[1][None, b : b + step] - both, 1e-12)
+            open_ = apart[a : a + 128, b : b + step]
+            out[a : a + 128, b : b + step] = open_ & (j >= similarity + 1e-4)
+            for r, c in zip(*np.nonzero(open_ & (np.abs(j - similarity) < 1e-4)), strict=True):  # too close for single precision
+                out[a + r, b + c] = _share(left[a + r], right[b + c]) >= similarity
+    return out
+
+
+def _exact(unpack: Callable[[bytes], Vector], similarity: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        lk, rk, lc, rc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
+        linked = link_matrix([unpack(v) for v in left["vec"]], [unpack(v) for v in right["vec"]], lc[:, None] != rc[None, :], similarity)
+        row, col = spanning_stars(linked)
+        r, c = row >= 0, col >= 0
+        return pd.DataFrame({"a": np.concatenate([lk[r], rk[c]]), "b": np.concatenate([rk[row[r]], rk[col[c]]])})
+
+    return run
+
+
+def _blocked(rows: DataFrame, payload: str, size: int) -> DataFrame:
+    """Rows of each pair of blocks of a bucket: bucket, i, j, side, k, root, payload."""
+    cut = rows.withColumn("nb", F.ceil(F.col("n") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    spread = cut.select("bucket", "k", payload, "root", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", payload, "root")
+    return left.unionByName(spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", payload, "root"))
+
+
 def linked_components(
-    items: DataFrame, bands: int, rows: int, agree: float, vectors_of: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool]
+    items: DataFrame, bands: int, rows: int, agree: float, vectors_of: Callable[[DataFrame], DataFrame], unpack: Callable[[bytes], Vector], similarity: float
 ) -> DataFrame:
     """k, root of every item with a link.
 
     items: k, sig. vectors_of: from a table of distinct k to k, vec of each.
-    similar: decides a pair by its two vecs. agree: least share of equal samples
-    that a candidate needs before it is verified.
+    unpack: features and weights of a vec. agree: least share of equal samples that
+    a candidate of the rounds 1 and 2 and of small buckets needs to be verified.
     """
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
@@ -99,7 +165,7 @@ def linked_components(
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[similar(x, y) for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
+            yield pdf[[_share(unpack(x), unpack(y)) >= similarity for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
@@ -116,28 +182,35 @@ def linked_components(
                 x, y = _signs(pdf["sig_a"].tolist()), _signs(pdf["sig_b"].tolist())
                 yield pdf[(x == y).mean(1) >= agree][["a", "b"]]
 
-    def between_components(roots: DataFrame, most: int | None) -> DataFrame:
+    def mixed(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components."""
+        roots = components(links).select(F.col("node").alias("k"), "root")
         member = shared.where("n > 2").join(roots, "k", "left").select("bucket", "n", "k", F.coalesce("root", "k").alias("root"))
-        mixed = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        split = member.join(mixed, "bucket").join(live, "k")
-        small = split.where(F.col("n") <= SMALL).groupBy("bucket").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("k", "root", "sig")])
-        large = split.where(F.col("n") > SMALL).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-        spread = large.select("bucket", "k", "sig", "root", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-        left = spread.where("own <= other").select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "sig", "root")
-        right = spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", "sig", "root")
-        found = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_blockwise(agree, most), "a long, b long")
-        return found.union(small.mapInPandas(_rowwise(agree, most), "a long, b long")).where("a <> b").distinct()
+        several = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        return flat(member.join(several, "bucket"), "mixed")
+
+    def small_pairs(rows: DataFrame, most: int | None) -> DataFrame:
+        listed = rows.join(live, "k").groupBy("bucket").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("k", "root", "sig")])
+        return listed.mapInPandas(_rowwise(agree, most), "a long, b long")
 
     stars = shared.where(F.col("k") != F.col("first")).select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
     signed = stars.join(live.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(live.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
     tried = flat(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
     links = verified(tried)
-    for most in (FIRST, None):
-        roots = components(links).select(F.col("node").alias("k"), "root")
-        more = flat(between_components(roots, most).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if most is None:
-                break
-            continue
-        tried, links = tried.union(more), links.union(verified(more))
+
+    rest = mixed(links)
+    large = _blocked(rest.where(F.col("n") > SMALL).join(live, "k"), "sig", BLOCK).groupBy("bucket", "i", "j").applyInPandas(_blockwise(agree, FIRST), "a long, b long")
+    near = flat(small_pairs(rest.where(F.col("n") <= SMALL), FIRST).union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not near.isEmpty():
+        tried, links = tried.union(near), links.union(verified(near))
+        rest = mixed(links)
+
+    few = flat(small_pairs(rest.where(F.col("n") <= SMALL), None).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not few.isEmpty():
+        links = links.union(verified(few))
+    many = rest.where(F.col("n") > SMALL)
+    if not many.isEmpty():
+        vectors = stored(vectors_of(many.select("k").distinct()), "vectors")
+        exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(unpack, similarity), "a long, b long")
+        links = links.union(flat(exact.where("a <> b").distinct(), "links"))
     return components(links).select(F.col("node").alias("k"), "root")

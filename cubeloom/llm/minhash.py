@@ -88,12 +88,15 @@ def samples(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    x, y = np.frombuffer(a, np.uint32).reshape(2, -1), np.frombuffer(b, np.uint32).reshape(2, -1)
-    wx, wy = x[1] * idf[x[0] & MASK].astype(np.float64), y[1] * idf[y[0] & MASK].astype(np.float64)
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    both = np.minimum(wx[i], wy[j]).sum()
-    return both / max(wx.sum() + wy.sum() - both, 1e-12)
+def features(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-th occurrence of a shingle is a feature of its own, so that weights
+    depend on features alone: sums over shared features are sums of smaller weights."""
+    n = counts.astype(np.int64)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    all_ids = np.repeat(ids, n)
+    both = (nth.astype(np.uint64) << np.uint64(32)) | all_ids.astype(np.uint64)
+    order = np.argsort(both, kind="stable")
+    return both[order], idf[all_ids[order] & MASK]
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: int = 300_000) -> DataFrame:
@@ -132,7 +135,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
         found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_doc"])).select("k", "text")
         return found.mapInPandas(vectors, "k long, vec binary").dropDuplicates(["k"])
 
-    roots = linked_components(texts, BANDS, ROWS, AGREE, vectors_of, lambda a, b: weighted_jaccard(a, b, idf.value) >= similarity)
+    def unpack(vec: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return features(*np.frombuffer(vec, np.uint32).reshape(2, -1), idf.value)
+
+    roots = linked_components(texts, BANDS, ROWS, AGREE, vectors_of, unpack, similarity)
     rooted = of_doc.select("doc_id", "k").join(roots, "k", "left").select("doc_id", F.coalesce("root", "k").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(classes, "root").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))

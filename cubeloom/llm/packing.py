@@ -182,14 +182,28 @@ def fit_patterns(hist: np.ndarray, length: int, rounds: int = 200) -> list[tuple
 
 
 def plan(hist: np.ndarray, length: int) -> np.ndarray:
-    """Rows (length, first rank, how many, first sequence, offset), by length and rank."""
+    """Rows (length, first rank, how many, first sequence, offset), by length and rank.
+
+    The fitted counts are used whole and in lesser shares, down to none; the plan
+    with the fewest sequences stands. Lesser shares leave more short pieces to fill
+    the gaps of the long ones, which pays where lengths are few.
+    """
+    fitted = fit_patterns(hist, length)
+    plans = (_packed(hist, length, [(p, int(n * share)) for p, n in fitted]) for share in (1.0, 0.75, 0.5, 0.25, 0.0))
+    return min(plans, key=lambda p: p[0])[1]
+
+
+def _packed(hist: np.ndarray, length: int, patterns: list[tuple[tuple[int, ...], int]]) -> tuple[int, np.ndarray]:
+    """Number of sequences and plan rows of the patterns, and of the rest best-fit decreasing."""
     rank, rows, seqs = defaultdict(int), [], 0
 
     def put(size: int, n: int, first: int, offset: int) -> None:
         rows.append((size, rank[size], n, first, offset))
         rank[size] += n
 
-    for parts, n in fit_patterns(hist, length):
+    for parts, n in patterns:
+        if not n:
+            continue
         offset = 0
         for size in parts:
             put(size, n, seqs, offset)
@@ -232,7 +246,7 @@ def plan(hist: np.ndarray, length: int) -> np.ndarray:
                 leave(seqs, 1, rest * size)
                 seqs += 1
             n = 0
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return seqs, np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:
