@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubeloom.operators.dedup import prefix_max
+
 
 def merge_ranges(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Disjoint ranges of the same points; ranges that share a point become one.
 
-    by: columns that name separate sets; each set is swept in one task.
+    by: columns that name separate sets, each swept in one task. A single set is
+    cut into stretches of its order, so that no task sweeps all of it.
     """
-    by = by or []
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.where("start <= end").withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    ends = ranges.where("start <= end").groupBy(*(by or []), "start").agg(F.max("end").alias("end"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("start")
+        reached = ends.withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        reached = prefix_max(ends, "end", "start", "_reach")
+    opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
+    marked = reached.withColumn("_open", F.when(opens, F.col("start")))
+    if by:
+        island = marked.withColumn("_island", F.max("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        island = prefix_max(marked, "_open", "start", "_before").withColumn("_island", F.coalesce("_open", "_before"))
+    return island.groupBy(*(by or []), "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def overlapping(ranges: DataFrame, probes: DataFrame, by: list[str] | None = None, cell: int = 1024) -> DataFrame:

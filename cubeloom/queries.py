@@ -314,18 +314,18 @@ def query_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- enrichment ----------------------------------------------------------------------
 
 
-@query("select o_orderkey, coalesce(c_custkey, o_custkey) as o_custkey, c_name, c_mktsegment, case when c_custkey is not null then c_mktsegment else o_orderstatus end as o_orderstatus from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+@query("select o_orderkey, coalesce(c_custkey, o_custkey) as o_custkey, c_name, c_mktsegment, case when c_custkey is not null then c_mktsegment else o_orderstatus end as o_orderstatus from orders left join (select * from customer where c_acctbal >= 0) on o_custkey = c_custkey")
 def enrich_left_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lookup = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_mktsegment", F.col("c_mktsegment").alias("o_orderstatus"))
+    lookup = read(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey", "c_name", "c_mktsegment", F.col("c_mktsegment").alias("o_orderstatus"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return enrich.enrich_map(orders, lookup, {"o_custkey": "c_custkey"}, ["c_name", "c_mktsegment", "o_orderstatus"])
 
 
-@query("select l_orderkey as order_key, l_linenumber as line, l_quantity as quantity, p_brand as brand, coalesce(p_size, 0) as size, coalesce(p_retailprice, 0.0) as price from lineitem left join (select * from part where p_partkey % 2 = 0) on l_partkey = p_partkey")
+@query("select l_orderkey as order_key, l_linenumber as line, l_quantity as quantity, p_brand as brand, coalesce(p_size, 0) as size, coalesce(p_retailprice, 0.0) as price from lineitem left join (select * from part where p_size > 20) on l_partkey = p_partkey")
 def enrich_default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = enrich.mapping("l_orderkey:order_key,l_linenumber:line,l_quantity:quantity")
     add = enrich.mapping("p_brand:brand,p_size:size,p_retailprice:price", reverse=True)
-    lookup = read(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    lookup = read(spark, sf_dir, "part").where("p_size > 20")
     return enrich.enrich_typed(read(spark, sf_dir, "lineitem"), lookup, enrich.mapping("l_partkey:p_partkey"), copy, add)
 
 
@@ -461,10 +461,10 @@ def replay_committed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("set_id"), (F.col("l_partkey") * 20).alias("start"), (F.col("l_partkey") * 20 + F.col("l_quantity").cast("bigint") * 3).alias("end"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), (F.col("l_partkey") * 20).alias("start"), (F.col("l_partkey") * 20 + F.col("l_quantity").cast("bigint")).alias("end"))
 
 
-_RNG = "(select l_suppkey as set_id, l_partkey * 20 as start_, l_partkey * 20 + cast(l_quantity as bigint) * 3 as end_ from lineitem where l_linenumber = 1) r"
+_RNG = "(select l_suppkey as set_id, l_partkey * 20 as start_, l_partkey * 20 + cast(l_quantity as bigint) as end_ from lineitem) r"
 _MARK = f"select *, case when max(end_) over w is null or start_ > max(end_) over w then 1 else 0 end as new_ from {_RNG} window w as (partition by set_id order by start_, end_ rows between unbounded preceding and 1 preceding)"
 
 
@@ -473,11 +473,21 @@ def kv_range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.merge_ranges(line_ranges(spark, sf_dir), ["set_id"])
 
 
+_ONE = "(select l_orderkey * 30 as start_, l_orderkey * 30 + cast(l_quantity as bigint) as end_ from lineitem) r"
+_MARK1 = f"select *, case when max(end_) over w is null or start_ > max(end_) over w then 1 else 0 end as new_ from {_ONE} window w as (order by start_, end_ rows between unbounded preceding and 1 preceding)"
+
+
+@query(f'select min(start_) as "start", max(end_) as "end" from (select *, sum(new_) over (order by start_, end_ rows between unbounded preceding and current row) as island from ({_MARK1}) m) i group by island')
+def kv_range_merge_one_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_orderkey") * 30
+    return ranges.merge_ranges(read(spark, sf_dir, "lineitem").select(start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end")))
+
+
 def range_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey % 50 = 7").select((F.col("p_partkey") * 20 - 15).alias("probe_start"), (F.col("p_partkey") * 20 + F.col("p_size").cast("bigint")).alias("probe_end"))
+    return read(spark, sf_dir, "part").select((F.col("p_partkey") * 20 - 15).alias("probe_start"), (F.col("p_partkey") * 20 + F.col("p_size").cast("bigint")).alias("probe_end"))
 
 
-_PRB = "(select p_partkey * 20 - 15 as probe_start, p_partkey * 20 + p_size as probe_end from part where p_partkey % 50 = 7) p"
+_PRB = "(select p_partkey * 20 - 15 as probe_start, p_partkey * 20 + p_size as probe_end from part) p"
 
 
 @query(f'select set_id, start_ as "start", end_ as "end", probe_start, probe_end from {_RNG} join {_PRB} on start_ <= probe_end and end_ >= probe_start')
@@ -533,9 +543,9 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(key, F.lit(False).alias("dropped")).union(dropped.select(key, F.lit(True).alias("dropped")))
 
 
-@query("select event_type, '[' || string_agg('{' || user_id || ':' || n || '}', ',' order by k) || ']' as body from (select event_type, cast(user_id as varchar) as k, user_id, count(*) as n from events where user_id < 10 group by all) g group by 1")
+@query("select event_type, '[' || string_agg('{' || user_id || ':' || n || '}', ',' order by k) || ']' as body from (select event_type, cast(user_id as varchar) as k, user_id, count(*) as n from events group by all) g group by 1")
 def map_result_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "events").where("user_id < 10").groupBy("event_type", F.col("user_id").cast("string").alias("k")).agg(F.count("*").alias("n"))
+    n = read(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").cast("string").alias("k")).agg(F.count("*").alias("n"))
     return n.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m")).select("event_type", delimited.map_text(F.col("m")).alias("body"))
 
 
