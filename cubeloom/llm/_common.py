@@ -57,15 +57,16 @@ def release() -> None:
             _HELD.popleft().unpersist()
 
 
-def written(df: DataFrame, name: str = "t", spread: int = 8) -> DataFrame:
+def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage.
 
     One task writes the partitions of up to `spread` shuffle partitions, one after
     the other, so that small tables don't become thousands of files; there are at
-    least two tasks per core.
+    least two tasks per core. Without spread each partition is a file.
     """
     spark = df.sparkSession
-    df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
+    if spread is not None:
+        df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
