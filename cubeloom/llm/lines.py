@@ -125,13 +125,15 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8, most_broadcas
     """One row per line that is not blank: doc_id, line, class_doc_id, class_line, kept."""
     table = written(line_table(docs), "lines")
     place = F.struct("doc_id", "line")
-    items = written(table.groupBy("k").agg(F.any_value("sig", True).alias("sig"), F.min(place).alias("at")), "items")
+    items = table.where("sig is not null").select("k", "sig")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def vectors_of(names: DataFrame) -> DataFrame:
-        wanted = items.select("k", "at").join(names, "k").select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.line").alias("line"), "k").alias("w"))
+        few = names.count() <= most_broadcast  # at most as many rows, of two numbers a line
+        named = table.select("k", "doc_id", "line").join(F.broadcast(names) if few else names, "k")
+        wanted = named.groupBy("k").agg(F.min(place).alias("at")).select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.line").alias("line"), "k").alias("w"))
         wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-        if names.count() <= most_broadcast:  # at most as many rows, of two numbers a line
+        if few:
             wanted = F.broadcast(wanted)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +148,7 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8, most_broadcas
                             vecs.append(shingle_set(flat).tobytes())
                 yield pd.DataFrame({"k": np.array(ks, np.int64), "vec": vecs})
 
-        return base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInPandas(run, "k long, vec binary").dropDuplicates(["k"])
+        return base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInPandas(run, "k long, vec binary")
 
     roots = linked_components(items, BANDS, ROWS, AGREE, vectors_of, _unpack, similarity)
     rooted = table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root"))

@@ -153,28 +153,42 @@ def linked_components(
 ) -> DataFrame:
     """k, root of every item with a link.
 
-    items: k, sig. vectors_of: from a table of distinct k to k, vec of each.
+    items: k, sig; an item may come several times, with the same sig. vectors_of:
+    from a table of distinct k to k, vec of each, which may come several times too.
     unpack: features and weights of a vec. agree: least share of equal samples that
     a candidate of the rounds 1 and 2 and of small buckets needs to be verified.
     """
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
-    buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
-    shared = flat(in_band.join(buckets, "bucket"), "shared")
-    live = flat(items.join(shared.select("k").distinct(), "k", "left_semi").select("k", "sig"), "live")
+    buckets = in_band.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("bucket", "first")
+    members = in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct()  # few rows of many have a shared bucket: no sort of all
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    shared = flat(members.join(sizes, "bucket"), "shared")
+    live = flat(items.join(shared.select("k").distinct(), "k", "left_semi").select("k", "sig").dropDuplicates(["k"]), "live")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[[_share(unpack(x), unpack(y)) >= similarity for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
 
+    fetched: list[tuple[DataFrame, DataFrame]] = []  # names, and their vectors
+
+    def vectors_for(names: DataFrame) -> DataFrame:
+        """Vectors of at least these; each is made once."""
+        for known, _ in fetched:
+            names = names.join(known, "k", "left_anti")
+        names = flat(names, "names")
+        if not fetched or not names.isEmpty():
+            fetched.append((names, stored(vectors_of(names), "vectors")))
+        out = fetched[0][1]
+        for _, vectors in fetched[1:]:
+            out = out.union(vectors)
+        return out
+
     def verified(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        vectors = stored(vectors_of(names), "vectors")
+        vectors = vectors_for(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
         with_a = pairs.join(vectors.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
         both = with_a.join(vectors.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b")
-        found = flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
-        vectors.unpersist()
-        return found
+        return flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -210,7 +224,9 @@ def linked_components(
         links = links.union(verified(few))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        vectors = stored(vectors_of(many.select("k").distinct()), "vectors")
+        vectors = vectors_for(many.select("k").distinct())
         exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(unpack, similarity), "a long, b long")
         links = links.union(flat(exact.where("a <> b").distinct(), "links"))
+    for _, vectors in fetched:
+        vectors.unpersist()
     return components(links).select(F.col("node").alias("k"), "root")

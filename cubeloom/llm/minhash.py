@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
         if names.count() <= most_broadcast:  # as many rows of two numbers
             wanted = F.broadcast(wanted)
         found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["_doc"])).select("k", "text")
-        return found.mapInPandas(vectors, "k long, vec binary").dropDuplicates(["k"])
+        return found.mapInPandas(vectors, "k long, vec binary")
 
     def unpack(vec: bytes) -> tuple[np.ndarray, np.ndarray]:
         return features(*np.frombuffer(vec, np.uint32).reshape(2, -1), idf.value)
