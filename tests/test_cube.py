@@ -216,3 +216,24 @@ def test_value_alone_means_all_its_aggregators():
 
 def test_time_bucket():
     assert TimeBucket("3h").millis == 10_800_000 and TimeBucket("ALL").millis is None
+
+
+def test_query_of_a_composite(spark):
+    comp = [{"aggregator": k, "count": 2, "embeddedAggregator": a, "subCombinations": ["location"]} for k, a in (("TOPN", "SUM"), ("BOTTOMN", "AVG"))]
+    spec = CubeSpec.from_json(
+        {
+            "keys": KEYS[::2],
+            "values": [{"name": "n", "type": "long", "aggregators": ["SUM"]}],
+            "timeBuckets": ["1m"],
+            "dimensions": [{"combination": ["publisher"], "additionalValues": [{"n": comp[0]}, {"n": comp[1]}]}],
+        }
+    )
+    rows = [("p", "CA", 50, 0), ("p", "WA", 51, 0), ("p", "ON", 52, 0), ("p", "ON", 2, 0), ("q", "CA", 1, 0)]
+    c = cube.compute(spark.createDataFrame(rows, "publisher string, location string, n long, time long"), spec)
+    text = {"id": "1", "type": "dataQuery", "data": {"time": {"bucket": "1m", "latestNumBuckets": 1}, "keys": {"publisher": ["p"]}, "fields": ["time", "n:SUM", "n:TOPN-SUM-2_location", "n:BOTTOMN-AVG-2_location"]}}
+    query = q.parse(json.dumps(text), spec)
+    got = q.execute(c, spec, query).collect()
+    assert len(got) == 1 and got[0]["n:SUM"] == 155
+    assert got[0]["n:TOPN-SUM-2_location"] == {"ON": 54, "WA": 51} and got[0]["n:BOTTOMN-AVG-2_location"] == {"ON": 27.0, "CA": 50.0}
+    message = json.loads(q.to_json(q.execute(c, spec, query), query, spec).first()["message"])
+    assert message["data"][0]["n:TOPN-SUM-2_location"] == "[{ON:54},{WA:51}]"

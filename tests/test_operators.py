@@ -191,3 +191,17 @@ def test_log_and_gz_and_replay(spark, tmp_path):
     sources.append_log(played.select("headers", "body"), str(tmp_path / "log"))
     log = sources.read_log(spark, str(tmp_path / "log"))
     assert log.count() == 200 and log.select("file", "offset").distinct().count() == 200
+
+
+def test_jdbc_first_row_of_a_key(spark):
+    from cubeloom.sources.lookup import jdbc
+
+    url, driver = "jdbc:derby:memory:lookup;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    people = [(1, "Paul", 32), (2, "Allen", 25), (2, "Alan", 26), (4, "Mark", 25)]
+    spark.createDataFrame(people, "ID int, NAME string, AGE int").coalesce(1).write.format("jdbc").options(url=url, dbtable="COMPANY", driver=driver).mode("overwrite").save()
+    whole = jdbc(spark, url, table="COMPANY", driver=driver)
+    assert whole.count() == 4
+    one = jdbc(spark, url, query="select ID, NAME, AGE from COMPANY where AGE < 30", keys=["ID"], order="AGE", driver=driver)
+    assert sorted(tuple(r) for r in one.collect()) == [(2, "Allen", 25), (4, "Mark", 25)]
+    with pytest.raises(ValueError):
+        jdbc(spark, url)
