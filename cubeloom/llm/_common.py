@@ -129,8 +129,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         pick = part if pick is None else pick.unionByName(part)
     # at most 2 * per_class rows of two integers: bounded, so it may be broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "doc_id")
-    rows = sorted(got.collect(), key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
+    rows = got.toPandas().sort_values(["doc_id", "y", "text"], kind="stable")
+    return rows["text"].tolist(), rows["y"].to_numpy(np.float64)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,18 +68,28 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return ToxicityModel(bits, float(np.log((p + 1e-6) / (1 - p + 1e-6))), {})
-    cache: dict[str, np.ndarray] = {}
-    count = np.zeros((2, 1 << bits), np.float32)
-    docs = []
+    # The sample as numbers: each text's distinct words, and each word's features, end to end.
+    number: dict[str, int] = {}
+    held, ends, docs = array("i"), array("q", [0]), []
     for t in texts:
-        words = set(WORD.findall(t.lower()))
-        for w in words:
-            if w not in cache:
-                cache[w] = np.array(ngrams(w, bits), np.int32)
-        docs.append(words)
+        mine = []
+        for w in set(WORD.findall(t.lower())):
+            k = number.get(w)
+            if k is None:
+                k = number[w] = len(number)
+                held.extend(ngrams(w, bits))
+                ends.append(len(held))
+            mine.append(k)
+        docs.append(np.array(sorted(mine), np.int32))
+    del number
+    every, stop = np.frombuffer(held, np.int32) if held else np.empty(0, np.int32), np.frombuffer(ends, np.int64)
+
+    def of_text(words: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([every[stop[k] : stop[k + 1]] for k in words])) if len(words) else every[:0]
+
+    count = np.zeros((2, 1 << bits), np.float32)
     for words, label in zip(docs, y, strict=True):
-        if words:
-            count[int(label), np.unique(np.concatenate([cache[w] for w in words]))] += 1
+        count[int(label), of_text(words)] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
     ratio = np.log((count[1] + alpha) / (n[1] + 2 * alpha)) - np.log((count[0] + alpha) / (n[0] + 2 * alpha))
     chosen = (count.sum(0) >= min(min_df, max(1, len(y) // 20))) & (np.abs(ratio) >= keep)
@@ -87,21 +98,22 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
     r = ratio[chosen].astype(np.float64)
     cols, ptr = [], [0]
     for words in docs:
-        f = index[np.unique(np.concatenate([cache[w] for w in words]))] if words else np.empty(0, np.int32)
+        f = index[of_text(words)]
         f = f[f >= 0]
         cols.append(f)
         ptr.append(ptr[-1] + len(f))
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(y)), np.diff(ptr))
+    col, row = np.concatenate(cols), np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ptr))
+    del docs, cols, every, held, count
     w, b = np.zeros(len(r)), 0.0
     value = r[col]
     per_row = np.bincount(row, value * value, len(y))
-    step = 1.0 / (0.25 * np.percentile(per_row, 95) + l2 + 1.0)
+    step = len(y) ** 0.5 / (0.25 * np.percentile(per_row, 95) + l2 + 1.0)  # longer than the bound for dense rows: these are sparse
     wv, bv, k = w.copy(), b, 1.0
     for _ in range(rounds):  # accelerated gradient descent on the regularised log loss
         z = np.bincount(row, value * wv[col], len(y)) + bv
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
         gw, gb = np.bincount(col, value * g[row], len(r)) + l2 / len(y) * wv, g.sum()
-        w2, b2 = wv - step * gw * len(y) ** 0.5, bv - step * gb * len(y) ** 0.5
+        w2, b2 = wv - step * gw, bv - step * gb
         k2 = (1 + (1 + 4 * k * k) ** 0.5) / 2
         wv, bv = w2 + (k - 1) / k2 * (w2 - w), b2 + (k - 1) / k2 * (b2 - b)
         w, b, k = w2, b2, k2
@@ -111,7 +123,7 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
     return ToxicityModel(bits, float(b), dict(zip(ids[live].tolist(), coef[live].tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
     texts, y = labelled_sample(docs, labels, "toxic", per_class, seed=8)
     return fit(texts, y)
 
@@ -128,7 +140,7 @@ def scorer(spark: SparkSession, model: ToxicityModel):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     score = scorer(docs.sparkSession, train(docs, labels, per_class))
     scored = docs.select("doc_id", score("text").alias("score"))
