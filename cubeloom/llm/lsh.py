@@ -161,7 +161,8 @@ def linked_components(
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("bucket", "first")
-    members = in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct()  # few rows of many have a shared bucket: no sort of all
+    # Few rows of many have a shared bucket: no sort of all, and kept before they are counted.
+    members = flat(in_band.join(buckets.hint("shuffle_hash"), "bucket"), "members").distinct()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     shared = flat(members.join(sizes, "bucket"), "shared")
     live = flat(items.join(shared.select("k").distinct(), "k", "left_semi").select("k", "sig").dropDuplicates(["k"]), "live")
