@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of 32 words, 16 apart, over whole documents; items are the
+Passages are windows of 32 words, 20 apart, over whole documents; items are the
 benchmark's texts. Words are hashed to 2^20 features and weighted by the square
 root of their number times the inverse document frequency over all documents.
 
@@ -34,7 +34,7 @@ from cubeloom.llm._common import flat, stored
 from cubeloom.llm.counters import BITS, MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 20
 LEAST_SHARE = 0.5
 LEAST_COSINE = 0.45
 LEAST_COVER = 0.3
@@ -214,18 +214,19 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, columns = shared_idf.value, shared_column.value
         squares = weights.astype(np.float64) ** 2
+        shared = np.where(columns >= 0, squares, 0.0)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 slot = features(words(text)) & MASK
-                col, square = columns[slot], squares[slot]
-                held = np.concatenate([[0.0], np.cumsum(np.where(col >= 0, square, 0.0))])
-                every = np.concatenate([[0.0], np.cumsum(square)])
+                held, every = np.zeros(len(slot) + 1), np.zeros(len(slot) + 1)
+                np.cumsum(shared[slot], out=held[1:])
+                np.cumsum(squares[slot], out=every[1:])
                 start = np.arange(0, max(1, len(slot) - WINDOW + STRIDE), STRIDE)
                 end = np.minimum(start + WINDOW, len(slot))
                 mine, norm = held[end] - held[start], every[end] - every[start]
                 for k in np.flatnonzero((mine > 1e-9) & (mine >= LEAST_SHARE**2 * norm)).tolist():
-                    part = col[start[k] : end[k]]
+                    part = columns[slot[start[k] : end[k]]]
                     ids, n = np.unique(part[part >= 0], return_counts=True)
                     w = np.sqrt(n) * weights[slots[ids]] / np.sqrt(norm[k])
                     rows.append((doc_id, int(start[k]), float(np.sqrt(norm[k])), ids.astype(np.int32), w.astype(np.float32)))
