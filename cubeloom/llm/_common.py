@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import StorageLevel
@@ -13,6 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+_CACHES: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    """Registers a word table of this process."""
+    _CACHES[name] = clear
+
+
+def claim(name: str) -> None:
+    """Empties the word tables of other operators: a worker that serves several
+    operators in turn holds the table of one."""
+    if _OWNER[0] != name:
+        _OWNER[0] = name
+        for other, clear in _CACHES.items():
+            if other != name:
+                clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,6 +9,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from cubeloom.llm._common import cache, claim
+
 BITS = 20
 MASK = np.uint32((1 << BITS) - 1)
 PARTS = 64
@@ -19,7 +21,7 @@ class _Hashes(dict):
     """word -> 64-bit hash; emptied when it grows past a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 400_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -28,9 +30,11 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+cache("words", _HASHES.clear)
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
+    claim("words")
     return np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import claim, stored
 
 _NAME = r"[a-zA-Z][^\s/>]*+"
 _MARK = re.compile(
@@ -237,6 +237,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     schema = "host long, path long, kind int, feature long, n long, nlogn double, pages long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("html")
         for pdf in batches:
             rows: dict[tuple, list] = {}
             for host, html in zip(pdf["host"].tolist(), pdf["html"], strict=True):

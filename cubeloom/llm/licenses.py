@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cubeloom.llm._common import claim
+
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # Opening sentences of public licences, and the notices that name them.
@@ -51,6 +53,7 @@ def words(text: bytes | None) -> list[bytes]:
 def template_counts(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
     """Number of documents that hold each template token, over all documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("licenses")
         count = dict.fromkeys(tokens, 0)
         for pdf in batches:
             for t in pdf["text"]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import mix, written
+from cubeloom.llm._common import claim, mix, written
 from cubeloom.llm.lsh import linked_components
 
 WIDTH = 8
@@ -98,6 +98,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("line", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lines")
         for pdf in batches:
             for c in range(0, len(pdf), 500):
                 ids, numbers, ks, new, at = [], [], [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import stored
+from cubeloom.llm._common import cache, claim, stored
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, "_WordIds"] = {}
@@ -111,7 +111,17 @@ class _WordIds:
         return b"".join(map(self.words.__getitem__, ws)) + b"\0\0\0\0"
 
 
+def _clear() -> None:
+    for e in _ENCODERS.values():
+        e.words.clear()
+        e.letters.clear()
+
+
+cache("packing", _clear)
+
+
 def encoder(name: str = TOKENIZER) -> _WordIds:
+    claim("packing")
     if name not in _ENCODERS:
         path = name
         if "/" not in name:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cubeloom.llm._common import held_out_column, labelled_sample
+from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample
 
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -35,7 +35,7 @@ class _Hashes(dict):
     """token -> 32-bit hash; emptied when it grows past a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 400_000:
             self.clear()
         h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
         if len(token) <= 64:
@@ -44,10 +44,12 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+cache("quality", _HASHES.clear)
 
 
 def vector(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature ids and their values."""
+    claim("quality")
     tokens = TOKENS.findall(text or "")
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     mask = np.uint64((1 << bits) - 1)

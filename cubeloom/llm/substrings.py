@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import stored, written
+from cubeloom.llm._common import claim, stored, written
 
 Q = 64
 STEP = 32
@@ -116,6 +116,7 @@ def _file(n: int):
     """One row per distinct anchor of a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("substrings")
         for pdf in batches:
             hs, ids, rows, sizes = [], [], [], []
             for h, doc, text in zip(pdf["h"], pdf["doc_id"], pdf["text"], strict=True):

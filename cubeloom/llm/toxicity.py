@@ -14,6 +14,7 @@ Repeated rows are scored each; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from array import array
 from dataclasses import dataclass, field
@@ -23,9 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import held_out_column, labelled_sample
+from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
+_SEEN: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight in the model _SEEN_BY
+_SEEN_BY = [""]
+cache("toxicity", _SEEN.clear)
 
 
 def ngrams(word: str, bits: int, low: int = 3, high: int = 6) -> list[int]:
@@ -41,16 +45,20 @@ class ToxicityModel:
     bits: int
     intercept: float
     weight: dict[int, float]
-    _seen: dict = field(default_factory=dict, repr=False)
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def features(self, text: str) -> set[int]:
         """Distinct features of a text that carry weight."""
-        seen, got, weight = self._seen, set(), self.weight
+        claim("toxicity")
+        if _SEEN_BY[0] != self.token:
+            _SEEN_BY[0] = self.token
+            _SEEN.clear()
+        seen, got, weight = _SEEN, set(), self.weight
         for w in set(WORD.findall(text.lower())):
             f = seen.get(w)
             if f is None:
                 f = tuple({g for g in ngrams(w, self.bits) if g in weight})
-                if len(seen) > 400_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 if len(w) <= 64:
                     seen[w] = f
