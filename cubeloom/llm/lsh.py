@@ -171,25 +171,14 @@ def linked_components(
         for pdf in batches:
             yield pdf[[_share(unpack(x), unpack(y)) >= similarity for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
 
-    fetched: list[tuple[DataFrame, DataFrame]] = []  # names, and their vectors
-
-    def vectors_for(names: DataFrame) -> DataFrame:
-        """Vectors of at least these; each is made once."""
-        for known, _ in fetched:
-            names = names.join(known, "k", "left_anti")
-        names = flat(names, "names")
-        if not fetched or not names.isEmpty():
-            fetched.append((names, stored(vectors_of(names), "vectors")))
-        out = fetched[0][1]
-        for _, vectors in fetched[1:]:
-            out = out.union(vectors)
-        return out
-
     def verified(pairs: DataFrame) -> DataFrame:
-        vectors = vectors_for(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+        names = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        vectors = stored(vectors_of(names), "vectors")
         with_a = pairs.join(vectors.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
         both = with_a.join(vectors.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b")
-        return flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
+        found = flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
+        vectors.unpersist()
+        return found
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -225,9 +214,7 @@ def linked_components(
         links = links.union(verified(few))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        vectors = vectors_for(many.select("k").distinct())
+        vectors = stored(vectors_of(many.select("k").distinct()), "vectors")
         exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(unpack, similarity), "a long, b long")
         links = links.union(flat(exact.where("a <> b").distinct(), "links"))
-    for _, vectors in fetched:
-        vectors.unpersist()
     return components(links).select(F.col("node").alias("k"), "root")
