@@ -4,16 +4,19 @@ Passages are windows of 32 words, 20 apart, over whole documents; items are the
 benchmark's texts. Words are hashed to 2^20 features and weighted by the square
 root of their number times the inverse document frequency over all documents.
 
-A passage can have a cosine of 0.5 with an item only if the features that occur in
-any item make up half of its length; others are passed over. A copy of 15 words
-makes up more than that of the window it lies in. The rest form a sparse matrix A. A distributed randomised SVD of A (a block of random vectors sent
+A passage goes on for either of two reasons. It holds enough words of one item: an
+index from each item's rarest words to the item (``Held``) finds every stretch
+whose common subsequence with it can be long enough, however common its words are.
+Or the features that occur in any item make up half of its length. The passages
+form a sparse matrix A. A distributed randomised SVD of A (a block of random vectors sent
 through A'A, a power step, an orthonormal basis Q, then the eigenvectors of
 Q'A'AQ) gives the latent space. The block is seeded with the items, so their own
 directions are in Q and a verbatim copy is never projected away.
 
-Pairs of close latent vectors are candidates. Their words are compared: the
-longest common subsequence of an item and a stretch of the document must cover
-enough of the item, and enough of its answer, which is its last sentence.
+Pairs of close latent vectors and pairs from the index are candidates. Their words
+are compared: the longest common subsequence of an item and a stretch of the
+document must cover enough of the item, and enough of its answer, which is its last
+sentence. The result is that of this comparison over every document and item.
 
 Items are taken in blocks of bounded size, each against all documents. Null texts
 are empty; items without words match nothing; equal items are reported each. Rows
@@ -22,6 +25,7 @@ that repeat a doc_id are one document to the result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ WINDOW, STRIDE = 32, 20
 LEAST_SHARE = 0.5
 LEAST_COSINE = 0.45
 LEAST_COVER = 0.3
+#: Share of the words a match needs that must be among the item's rarest; any value loses nothing.
+RARE = 0.3
 RANDOM = 48
 BLOCK_ITEMS, BLOCK_WORDS = 256, 40_000
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -72,23 +78,104 @@ def _masks(ws: list[bytes]) -> dict:
     return out
 
 
+def reach_of(m: int) -> int:
+    """Words of a stretch that is compared with an item of m words."""
+    return m + m // 4 + 4
+
+
+def least_share(m: int, need: float) -> float:
+    return need if m >= 10 else max(need, 0.9)
+
+
 def match(item: list[bytes], answer: int, doc: list[bytes], lo: int, hi: int, need: float, need_answer: float) -> tuple[float, float]:
-    """Best share of the item, and of its answer there, found in doc[lo:hi], in
-    stretches a quarter longer than the item."""
+    """Best share of the item, and of its answer there, found in doc[lo:hi], in any
+    stretch a quarter longer than the item. Stretches begin with a word of the item,
+    and those without enough of its words are passed over."""
     m = len(item)
     masks, tail = _masks(item), _masks(item[m - answer :])
-    reach, step = m + m // 4 + 4, max(1, m // 4)
-    best = 0.0, 0.0
-    for at in range(lo, max(lo + 1, hi - m // 2), step):
-        part = doc[at : min(hi, at + reach)]
-        share = common_subsequence(masks, part, m) / m
-        if share >= need and share >= best[0]:
-            got = common_subsequence(tail, part, answer) / answer
-            if (got >= need_answer, share, got) > (best[1] >= need_answer, *best):
-                best = share, got
+    reach, times = reach_of(m), {w: b.bit_count() for w, b in masks.items()}
+    places = [p for p in range(lo, hi) if doc[p] in masks]
+    other = [doc[p] for p in places]
+    best, held, end = (0.0, 0.0), 0, 0
+    left = times.copy()  # of each word, how many more would count
+    for k, at in enumerate(places):
+        while end < len(places) and places[end] < at + reach:
+            held += left[other[end]] > 0
+            left[other[end]] -= 1
+            end += 1
+        bar = max(need, best[0] if best[1] >= need_answer else 0.0)
+        if held / m >= bar:
+            share = common_subsequence(masks, other[k:end], m) / m
+            if share >= bar:
+                got = common_subsequence(tail, other[k:end], answer) / answer
+                if (got >= need_answer, share, got) > (best[1] >= need_answer, *best):
+                    best = share, got
+        left[other[k]] += 1
+        held -= left[other[k]] > 0
     return best
 
 
+class Held:
+    """Index from the rarest words of items to the items.
+
+    A match needs `least` of the m words of an item in a stretch. All but least - k
+    of these are among any m - least + k of its words, so a stretch with fewer than
+    k of the rarest holds no match. Where there are k, all words are counted.
+    """
+
+    def __init__(self, slots: list[np.ndarray], idf: np.ndarray, need: float) -> None:
+        sizes = [len(s) for s in slots]
+        least = [max(1, math.ceil(least_share(m, need) * m - 1e-9)) for m in sizes]
+        some = [max(1, round(RARE * n)) for n in least]
+        rare = [np.unique(s[np.lexsort((s, -idf[s]))][: m - n + k]) for s, m, n, k in zip(slots, sizes, least, some, strict=True)]
+        self.least, self.some, self.reach = np.array(least), np.array(some), np.array([reach_of(m) for m in sizes])
+        word, item = np.concatenate(rare), np.repeat(np.arange(len(slots)), [len(r) for r in rare])
+        order = np.argsort(word, kind="stable")
+        self.item = item[order]
+        self.words, self.first, self.times = np.unique(word[order], return_index=True, return_counts=True)
+        self.at = np.full(1 << BITS, -1, np.int32)
+        self.at[self.words] = np.arange(len(self.words))
+        self.every = np.unique(np.concatenate(slots))
+        self.has = np.zeros((len(slots), len(self.every) + 1), bool)
+        for i, s in enumerate(slots):
+            self.has[i, np.searchsorted(self.every, s)] = True
+        self.column = np.full(1 << BITS, -1, np.int32)
+        self.column[self.every] = np.arange(len(self.every))
+
+    def find(self, slot: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of a word, item) of all stretches that may match, a place every few words;
+        slot: the words of documents that begin at first and have size words."""
+        at = self.at[slot]
+        places = np.flatnonzero(at >= 0)
+        at = at[places]
+        n = self.times[at]
+        item = self.item[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        place = np.repeat(places, n)
+        doc = np.searchsorted(first, place, "right") - 1
+        key = doc * len(self.some) + item
+        order = np.argsort(key, kind="stable")
+        key, place, item, doc = key[order], place[order], item[order], doc[order]
+        far = np.arange(len(key)) + self.some[item] - 1
+        inside = far < len(key)
+        far = np.where(inside, far, 0)
+        hit = np.flatnonzero(inside & (key[far] == key) & (place[far] - place < self.reach[item]))
+        if not len(hit):
+            return place[:0], item[:0]
+        cell = key[hit], (place[hit] - first[doc[hit]]) // STRIDE
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(cell[0]) != 0) | (np.diff(cell[1]) != 0)]))
+        last = np.append(edge[1:], len(hit)) - 1
+        column, keep = self.column[slot], []
+        for a, b in zip(hit[edge].tolist(), hit[last].tolist(), strict=True):
+            i, begin = item[a], first[doc[a]]
+            reach = self.reach[i]
+            lo, hi = max(begin, place[far[a]] - reach + 1), min(begin + size[doc[a]], place[b] + reach)
+            count = np.cumsum(self.has[i, column[lo:hi]])
+            most = count[-1] if hi - lo <= reach else max(count[reach - 1], (count[reach:] - count[:-reach]).max())
+            if most >= self.least[i]:
+                keep.append(a)
+        return place[keep], item[keep]
+
+
 def _orthonormal(x: np.ndarray) -> np.ndarray:
     """Basis of the columns' span; directions that add nothing are left out."""
     q, r = np.linalg.qr(x)
@@ -199,7 +286,6 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     spark = base.sparkSession
     idf = shared_idf.value
     slots = np.unique(np.concatenate([features(ws) & MASK for _, ws, _ in block]))
-    slots = slots[idf[slots] > 0]
     column = np.full(1 << BITS, -1, np.int32)
     column[slots] = np.arange(len(slots))
     items = np.zeros((len(block), len(slots)))
@@ -210,29 +296,56 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     lengths = np.sqrt((items * items).sum(1))
     items /= np.maximum(lengths, 1e-12)[:, None]
     shared_column = spark.sparkContext.broadcast(column)
+    shared_held = spark.sparkContext.broadcast(Held([features(ws) & MASK for _, ws, _ in block], idf, need))
+
+    def some(docs: list[tuple], weights: np.ndarray, squares: np.ndarray, shared: np.ndarray) -> list[tuple]:
+        columns = shared_column.value
+        size = np.array([len(s) for _, s in docs])
+        first = np.cumsum(size) - size
+        slot = np.concatenate([s for _, s in docs])
+        held, every = np.zeros(len(slot) + 1), np.zeros(len(slot) + 1)
+        np.cumsum(shared[slot], out=held[1:])
+        np.cumsum(squares[slot], out=every[1:])
+        windows = -(-np.maximum(1, size - WINDOW + STRIDE) // STRIDE)
+        before = np.cumsum(windows) - windows
+        doc = np.repeat(np.arange(len(docs)), windows)
+        at = (np.arange(len(doc)) - before[doc]) * STRIDE
+        start = first[doc] + at
+        end = np.minimum(start + WINDOW, first[doc] + size[doc])
+        mine, norm = held[end] - held[start], every[end] - every[start]
+        wanted: dict[int, set[int]] = {int(k): set() for k in np.flatnonzero((mine > 1e-9) & (mine >= LEAST_SHARE**2 * norm))}
+        place, item = shared_held.value.find(slot, first, size)
+        of = np.searchsorted(first, place, "right") - 1
+        for k, i in zip((before[of] + np.minimum((place - first[of]) // STRIDE, windows[of] - 1)).tolist(), item.tolist(), strict=True):
+            wanted.setdefault(k, set()).add(i)
+        rows = []
+        for k, items_held in wanted.items():
+            part = columns[slot[start[k] : end[k]]]
+            ids, n = np.unique(part[part >= 0], return_counts=True)
+            size_k = float(np.sqrt(max(norm[k], 1e-12)))
+            w = np.sqrt(n) * weights[slots[ids]] / size_k
+            rows.append((docs[doc[k]][0], int(at[k]), size_k, ids.astype(np.int32), w.astype(np.float32), sorted(items_held)))
+        return rows
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, columns = shared_idf.value, shared_column.value
         squares = weights.astype(np.float64) ** 2
         shared = np.where(columns >= 0, squares, 0.0)
         for pdf in batches:
-            rows = []
+            rows, docs, n = [], [], 0
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 slot = features(words(text)) & MASK
-                held, every = np.zeros(len(slot) + 1), np.zeros(len(slot) + 1)
-                np.cumsum(shared[slot], out=held[1:])
-                np.cumsum(squares[slot], out=every[1:])
-                start = np.arange(0, max(1, len(slot) - WINDOW + STRIDE), STRIDE)
-                end = np.minimum(start + WINDOW, len(slot))
-                mine, norm = held[end] - held[start], every[end] - every[start]
-                for k in np.flatnonzero((mine > 1e-9) & (mine >= LEAST_SHARE**2 * norm)).tolist():
-                    part = columns[slot[start[k] : end[k]]]
-                    ids, n = np.unique(part[part >= 0], return_counts=True)
-                    w = np.sqrt(n) * weights[slots[ids]] / np.sqrt(norm[k])
-                    rows.append((doc_id, int(start[k]), float(np.sqrt(norm[k])), ids.astype(np.int32), w.astype(np.float32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "norm", "ids", "weights"])
-
-    passages = flat(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>"), "passages")
+                if len(slot):
+                    docs.append((doc_id, slot))
+                    n += len(slot)
+                if n > 100_000:
+                    rows += some(docs, weights, squares, shared)
+                    docs, n = [], 0
+            if docs:
+                rows += some(docs, weights, squares, shared)
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "norm", "ids", "weights", "held"])
+
+    passages = flat(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>, held array<int>"), "passages")
     basis = latent_basis(passages, items)
     latent = items @ basis
     shared = spark.sparkContext.broadcast((basis.astype(np.float32), latent.astype(np.float32), lengths.astype(np.float32)))
@@ -247,7 +360,11 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
                 dot = p @ q.T
                 cosine = dot / np.maximum(np.sqrt((p * p).sum(1)), 1e-12)[:, None]
                 cover = dot * pdf["norm"].to_numpy(np.float32)[:, None] / np.maximum(sizes, 1e-12)[None, :]
-                i, j = np.nonzero((cosine >= LEAST_COSINE) & (cover >= LEAST_COVER))
+                close = (cosine >= LEAST_COSINE) & (cover >= LEAST_COVER)
+                for r, held in enumerate(pdf["held"]):
+                    if len(held):
+                        close[r, held] = True
+                i, j = np.nonzero(close)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i], "start": pdf["start"].to_numpy()[i], "item": j.astype(np.int32), "cosine": cosine[i, j].astype(np.float64)})
 
     found = stored(passages.mapInPandas(search, f"doc_id {id_type}, start int, item int, cosine double"), "candidates")
@@ -261,12 +378,22 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
             rows = []
             for doc_id, text, starts, which, cosines in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["items"], pdf["cosines"], strict=True):
                 doc = words(text)
-                for start, i, cosine in zip(starts, which, cosines, strict=True):
+                spans: dict[int, list] = {}
+                for i, start, cosine in sorted(zip(which, starts, cosines, strict=True)):
+                    reach = reach_of(len(texts.value[i][1]))
+                    lo, hi = max(0, start - reach), min(len(doc), start + WINDOW + reach)
+                    found = spans.setdefault(i, [])
+                    if found and lo <= found[-1][1]:  # stretches of neighbours are compared once
+                        found[-1][1:] = max(hi, found[-1][1]), max(cosine, found[-1][2])
+                    else:
+                        found.append([lo, hi, cosine])
+                for i, found in spans.items():
                     item_id, ws, answer = texts.value[i]
-                    share = need if len(ws) >= 10 else max(need, 0.9)
-                    got = match(ws, answer, doc, max(0, start - len(ws)), min(len(doc), start + WINDOW + len(ws)), share, need_answer)
-                    if got[0] >= share and got[1] >= need_answer:
-                        rows.append((doc_id, item_id, cosine, *got))
+                    share = least_share(len(ws), need)
+                    for lo, hi, cosine in found:
+                        got = match(ws, answer, doc, lo, hi, share, need_answer)
+                        if got[0] >= share and got[1] >= need_answer:
+                            rows.append((doc_id, item_id, cosine, *got))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "overlap", "answer"])
 
     named = wanted.withColumnRenamed("doc_id", "_doc")

@@ -207,6 +207,62 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def planted(draw, items, docs, share):
+    """Documents of rare words, `share` of which hold an item word for word."""
+    rows = []
+    for d in range(docs):
+        text = [f"w{draw.randrange(60_000)}" for _ in range(draw.randint(60, 200))]
+        if draw.random() < share:
+            at = draw.randrange(len(text))
+            text[at:at] = draw.choice(items)[1].split()
+        rows.append((d, " ".join(text)))
+    return rows
+
+
+def compared(rows, items):
+    """Pairs by comparing every stretch of every document with every item."""
+    want = set()
+    common, masks = decontaminate.common_subsequence, decontaminate._masks
+    for i, item in items:
+        ws = words(item.encode())
+        m, answer = len(ws), decontaminate.answer_length(item, len(ws))
+        whole, tail, need = masks(ws), masks(ws[m - answer :]), 0.6 if m >= 10 else 0.9
+        for d, text in rows:
+            doc = words(text.encode())
+            parts = (doc[at : at + m + m // 4 + 4] for at in range(len(doc)))
+            if any(common(whole, p, m) >= need * m and common(tail, p, answer) >= 0.5 * answer for p in parts if sum(w in whole for w in p) >= need * m):
+                want.add((d, i))
+    return want
+
+
+def leak_pairs(spark, rows, items):
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_short_items_in_many_documents(spark):
+    draw = random.Random(8)
+    for size in (14, 18, 23, 6):
+        items = [(0, " ".join(f"i{draw.randrange(5_000)}" for _ in range(size)))]
+        rows = planted(draw, items, 150, 0.33)
+        want = compared(rows, items)
+        assert len(want) > 30 and leak_pairs(spark, rows, items) == want
+
+
+def test_leaks_equal_a_full_comparison(spark, small):
+    draw = random.Random(9)
+    vocabulary = [f"v{int(draw.paretovariate(0.6))}" for _ in range(3_000)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randint(3, 70))) + ". " + " ".join(draw.choice(vocabulary) for _ in range(4))) for i in range(25)]
+    rows = []
+    for d in range(150):
+        text = [draw.choice(vocabulary) for _ in range(draw.randint(0, 300))]
+        ws = [x for w in draw.choice(items)[1].split() for x in ([w] if draw.random() < 0.7 else draw.choice([[], [draw.choice(vocabulary)], [w, draw.choice(vocabulary)]]))]
+        at = draw.randint(0, len(text))
+        text[at:at] = ws
+        rows.append((d, " ".join(text)))
+    want = compared(rows, items)
+    assert len(want) > 60 and leak_pairs(spark, rows, items) == want
+
+
 def test_verbatim_items_are_found(spark, small):
     docs, items = read(spark, small, "documents"), read(spark, small, "benchmark")
     spaced = {r["doc_id"]: b" " + b" ".join(words((r["text"] or "").encode())) + b" " for r in docs.collect()}
