@@ -348,10 +348,13 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     passages = flat(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>, held array<int>"), "passages")
     basis = latent_basis(passages, items)
     latent = items @ basis
-    shared = spark.sparkContext.broadcast((basis.astype(np.float32), latent.astype(np.float32), lengths.astype(np.float32)))
+    # a passage is at most WINDOW / m of an item of m words: the bars of long items fall with that
+    part = np.minimum(1.0, 2 * WINDOW / np.array([len(ws) for _, ws, _ in block]))
+    bars = (LEAST_COSINE * np.sqrt(part)).astype(np.float32), (LEAST_COVER * part).astype(np.float32)
+    shared = spark.sparkContext.broadcast((basis.astype(np.float32), latent.astype(np.float32), lengths.astype(np.float32), bars))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, q, sizes = shared.value
+        v, q, sizes, (least_cosine, least_cover) = shared.value
         for whole in batches:
             for c in range(0, len(whole), 1000):
                 pdf = whole.iloc[c : c + 1000]
@@ -360,7 +363,7 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
                 dot = p @ q.T
                 cosine = dot / np.maximum(np.sqrt((p * p).sum(1)), 1e-12)[:, None]
                 cover = dot * pdf["norm"].to_numpy(np.float32)[:, None] / np.maximum(sizes, 1e-12)[None, :]
-                close = (cosine >= LEAST_COSINE) & (cover >= LEAST_COVER)
+                close = (cosine >= least_cosine) & (cover >= least_cover)
                 for r, held in enumerate(pdf["held"]):
                     if len(held):
                         close[r, held] = True

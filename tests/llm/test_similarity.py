@@ -248,6 +248,28 @@ def test_short_items_in_many_documents(spark):
         assert len(want) > 30 and leak_pairs(spark, rows, items) == want
 
 
+def test_long_items(spark):
+    draw = random.Random(10)
+    items = [(i, " ".join(f"i{draw.randrange(5_000)}" for _ in range(size))) for i, size in enumerate((110, 150, 200, 400))]
+    rows = planted(draw, items, 60, 0.5)
+    want = compared(rows, items)
+    assert {i for _, i in want} == {0, 1, 2, 3} and leak_pairs(spark, rows, items) == want
+
+
+def test_long_items_are_close_in_the_latent_space(spark, monkeypatch):
+    made = decontaminate.Held.__init__
+
+    def without(self, *args):
+        made(self, *args)
+        self.least = self.least * 1_000_000  # finds nothing, in the workers too
+
+    monkeypatch.setattr(decontaminate.Held, "__init__", without)
+    draw = random.Random(10)
+    items = [(i, " ".join(f"i{draw.randrange(5_000)}" for _ in range(size))) for i, size in enumerate((150, 400))]
+    rows = planted(draw, items, 60, 0.5)
+    assert leak_pairs(spark, rows, items) == compared(rows, items)
+
+
 def test_leaks_equal_a_full_comparison(spark, small):
     draw = random.Random(9)
     vocabulary = [f"v{int(draw.paretovariate(0.6))}" for _ in range(3_000)]
