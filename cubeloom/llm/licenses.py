@@ -8,7 +8,9 @@ match on are still enough (positional filter). What passes is counted exactly.
 
 Phrases are templates that need all their tokens, with the whole text as the
 block; a match is then checked for places where the words follow each other.
-Other templates are compared with each line.
+Other templates are compared with each line, and with windows of words that run
+over the line feeds of a paragraph (lines up to a blank one), as notices are often
+wrapped. Such a window is as long as the template and a quarter.
 
 Null and empty texts have no words and no labels. Repeated rows are reported
 each. Other columns of the input are ignored.
@@ -79,10 +81,11 @@ class Index:
         self.prefix: dict[bytes, list] = {}
         for label, texts in templates.items():
             for t in texts:
-                order = sorted(set(t.encode().split()), key=rank)
+                seq = t.encode().split()
+                order = sorted(set(seq), key=rank)
                 need = max(1, math.ceil(threshold * len(order) - 1e-9))
                 for at, w in enumerate(order[: len(order) - need + 1]):
-                    self.prefix.setdefault(w, []).append((label, order, need, at))
+                    self.prefix.setdefault(w, []).append((label, order, need, at, len(seq) + len(seq) // 4))
         self.keys = frozenset(self.phrases) | frozenset(self.prefix)
 
     def scan(self, text: bytes | None) -> tuple:
@@ -108,10 +111,14 @@ class Index:
                         places.append(at - k)
                         base.add(label)
         if hit & self.prefix.keys():
-            for line in text.translate(_LINES).split(b"\n"):
-                block = set(line.split())
+            lines = [line.split() for line in text.translate(_LINES).split(b"\n")]
+            got = self._wrapped(lines, text, hit)
+            more.update(label for label, _ in got)
+            score = max((share for _, share in got), default=0.0)
+            for line in lines:
+                block = set(line)
                 for w in block & self.prefix.keys():
-                    for label, order, need, at in self.prefix[w]:
+                    for label, order, need, at, _ in self.prefix[w]:
                         if len(block) < need or len(order) - at < need - sum(o in block for o in order[:at]):
                             continue
                         got = sum(o in block for o in order)
@@ -123,6 +130,43 @@ class Index:
         return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
 
+    def _wrapped(self, lines: list[list[bytes]], text: bytes, hit: frozenset[bytes]) -> list[tuple[str, float]]:
+        """(label, share) of templates in windows of words across line feeds."""
+        if len(lines) < 2:
+            return []
+        found, held = [], None
+        for w in hit & self.prefix.keys():
+            for label, order, need, at, reach in self.prefix[w]:
+                held = held or {x for line in lines for x in line}
+                if sum(o in held for o in order) < need or sum(o in held for o in order[:at]) + len(order) - at < need:
+                    continue
+                found.append((label, order, need, reach))
+        if not found:
+            return []
+        out, paragraph = [], []
+        for line, raw in [*zip(lines, text.split(b"\n"), strict=True), ([], b"")]:
+            if raw.strip():
+                paragraph += line
+                continue
+            for label, order, need, reach in found if paragraph else ():
+                wanted, count, most = set(order), {}, 0
+                places = [p for p, x in enumerate(paragraph) if x in wanted]
+                begin = 0
+                for p in places:
+                    count[paragraph[p]] = count.get(paragraph[p], 0) + 1
+                    while places[begin] <= p - reach:
+                        old = paragraph[places[begin]]
+                        count[old] -= 1
+                        if not count[old]:
+                            del count[old]
+                        begin += 1
+                    most = max(most, len(count))
+                if most >= need:
+                    out.append((label, most / len(order)))
+            paragraph = []
+        return out
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None, threshold: float = 0.85) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     phrases = PHRASES if phrases is None else phrases

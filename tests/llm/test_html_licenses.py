@@ -81,3 +81,21 @@ def test_scan_equals_brute_force(spark, small):
     got = {r["doc_id"]: tuple(r)[1:7] for r in licenses.scan(docs).collect()}
     assert got == {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD = """ * Redistribution and use in source and binary
+ * forms, with or without modification, are permitted
+ * provided that the following conditions
+ * are met:"""
+
+
+def test_templates_over_line_feeds(spark):
+    apart = MIT.replace("\nof this", "\n\nof this")
+    rows = [(0, MIT), (1, BSD), (2, MIT.replace("\n", "\r\n")), (3, apart), (4, "released under\n" + "other words " * 40 + "\nthe mit license"), (5, "Released under\nthe MIT license")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("mit", 1.0)}
