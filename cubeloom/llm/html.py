@@ -13,8 +13,12 @@ many pages each text stands directly in it (its content features). From these:
 Then each page is parsed again. A branch's importance mixes its own presentation
 importance with that of its children and texts; markup that names its purpose
 sets it: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments have 0, an article has 1. Branches below the threshold
-are removed; where a page marks its article, the article is what is kept.
+styles and reader comments have 0. Branches below the threshold are removed. Where
+a page marks its article, the article is what is kept, and its mark counts as much
+as MARK pages on which each block in it has importance 1, each outside 0: blocks
+that many pages of a host repeat in their articles go, unless nothing would stay.
+An article with less than half the text that the tree keeps outside it is no
+article: the tree alone decides there.
 
 The statistics cover all pages and are summed before they are shuffled, so a
 host with a third of all pages is no heavy task. Pages without a host, and paths
@@ -63,6 +67,8 @@ NOISE_WORDS = frozenset(
     "respond share sharing social related recommended pagination pager toolbar alert masthead".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Pages that a marked article counts as.
+MARK = 2
 HEADERS = frozenset("header site-header page-header main-header top-header global-header topbar top-bar".split())
 
 
@@ -183,35 +189,51 @@ def page_features(html: str | None) -> list[tuple[int, int, int, int]]:
     return [(*k, n) for k, n in count.items()]
 
 
-def main_text(html: str | None, tree: dict[int, tuple[float, float]], threshold: float, gamma: float = 0.9) -> str:
-    """tree: path -> (presentation importance, content importance) of the page's host."""
-    page = Page(html or "")
-    size, one = len(page.tags), (1.0, 1.0)
-    marked = [t == "article" and not n for t, n in zip(page.tags, page.noise, strict=True)]
-    if not any(marked):
-        marked = [t == "main" and not n for t, n in zip(page.tags, page.noise, strict=True)]
+def _judged(page: Page, texts: dict[int, str], marked: list[bool], tree: dict[int, tuple[float, float, int]], threshold: float, gamma: float) -> tuple[list[bool], list[bool], float]:
+    """Which nodes go, which are in a marked node, and how much text outside of these the tree keeps."""
+    size, one = len(page.tags), (1.0, 1.0, 0)
     inside, above = marked[:], marked[:]
     for node in range(1, size):
         inside[node] = inside[node] or inside[page.parent[node]]
     for node in range(size - 1, 0, -1):
         above[page.parent[node]] = above[page.parent[node]] or above[node]
-    has_article = any(marked)
     total, parts = [0.0] * size, [0] * size
-    for node in page.texts():
+    for node in texts:
         total[node] += tree.get(page.path[node], one)[1]
         parts[node] += 1
-    low = [False] * size
+    low, known = [False] * size, [False] * size
     for node in range(size - 1, 0, -1):
-        own = tree.get(page.path[node], one)[0]
+        own, _, pages = tree.get(page.path[node], one)
         below = gamma ** max(1, len(page.signs[node]))
-        value = 0.0 if page.noise[node] else 1.0 if inside[node] else (1 - below) * own + below * (total[node] / parts[node] if parts[node] else own)
-        low[node] = value < threshold and not above[node]
+        value = 0.0 if page.noise[node] else (1 - below) * own + below * (total[node] / parts[node] if parts[node] else own)
+        known[node] = value * pages >= threshold * (MARK + pages)
+        if inside[node] and not page.noise[node]:
+            value = (MARK + value * pages) / (MARK + pages)
+        # in an article, words within a block stay or go with it
+        low[node] = value < threshold and not above[node] and (not inside[node] or page.tags[node] in BLOCK)
         if not page.noise[node]:
             total[page.parent[node]] += value
             parts[page.parent[node]] += 1
-    gone = page.noise[:]
+    gone, noise = page.noise[:], page.noise
     for node in range(1, size):
         gone[node] = gone[node] or gone[page.parent[node]] or low[node]
+    if any(marked) and not any(inside[node] and not gone[node] for node in texts):
+        for node in range(1, size):  # all of the article repeats: nothing tells its text
+            gone[node] = noise[node] or gone[page.parent[node]] or (low[node] and not inside[node])
+    return gone, inside, sum(len(t) for node, t in texts.items() if known[node] and not gone[node] and not inside[node])
+
+
+def main_text(html: str | None, tree: dict[int, tuple[float, float, int]], threshold: float, gamma: float = 0.9) -> str:
+    """tree: path -> (presentation importance, content importance, pages) of the page's host."""
+    page = Page(html or "")
+    marked = [t == "article" and not n for t, n in zip(page.tags, page.noise, strict=True)]
+    if not any(marked):
+        marked = [t == "main" and not n for t, n in zip(page.tags, page.noise, strict=True)]
+    has_article, texts = any(marked), page.texts()
+    gone, inside, outside = _judged(page, texts, marked, tree, threshold, gamma)
+    if has_article and 2 * sum(len(t) for node, t in texts.items() if inside[node] and not gone[node]) < outside:
+        has_article = False
+        gone, inside, _ = _judged(page, texts, [False] * len(marked), tree, threshold, gamma)
     blocks: list[str] = []
     now: list[str] = []
     for node, t in [*page.stream, (0, None)]:
@@ -233,7 +255,7 @@ def _host():
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, node_importance, content_importance of paths on two pages or more."""
+    """host, path, node_importance, content_importance, pages of paths on two pages or more."""
     schema = "host long, path long, kind int, feature long, n long, nlogn double, pages long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,6 +289,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         "path",
         F.greatest(F.lit(0.0), (base - F.col("plogp") / F.col("m")) / base).alias("node_importance"),
         F.when(F.col("texts") > 0, F.greatest(F.lit(0.0), 1 - F.col("h") / base / F.col("texts"))).otherwise(1.0).alias("content_importance"),
+        F.col("m").alias("pages"),
     )
 
 
@@ -281,12 +304,12 @@ def main_texts(pages: DataFrame, threshold: float = 0.25, most_broadcast: int =
     schema = T.StructType([pages.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", F.coalesce(_host(), F.lit(0)).alias("host"))
     small = tree.count() <= most_broadcast
-    known: dict[int, dict[int, tuple[float, float]]] = {}
+    known: dict[int, dict[int, tuple[float, float, int]]] = {}
     if small:
         for r in tree.collect():
-            known.setdefault(r["host"], {})[r["path"] & 0xFFFFFFFFFFFFFFFF] = (r["node_importance"], r["content_importance"])
+            known.setdefault(r["host"], {})[r["path"] & 0xFFFFFFFFFFFFFFFF] = (r["node_importance"], r["content_importance"], r["pages"])
     else:
-        lists = tree.groupBy("host").agg(F.collect_list(F.struct("path", "node_importance", "content_importance")).alias("tree"))
+        lists = tree.groupBy("host").agg(F.collect_list(F.struct("path", "node_importance", "content_importance", "pages")).alias("tree"))
         base = base.join(lists, "host", "left")
     shared = spark.sparkContext.broadcast(known)
 
@@ -295,7 +318,7 @@ def main_texts(pages: DataFrame, threshold: float = 0.25, most_broadcast: int =
             if small:
                 trees = [shared.value.get(h, {}) for h in pdf["host"].tolist()]
             else:
-                trees = [{r["path"] & 0xFFFFFFFFFFFFFFFF: (r["node_importance"], r["content_importance"]) for r in x} if x is not None else {} for x in pdf["tree"]]
+                trees = [{r["path"] & 0xFFFFFFFFFFFFFFFF: (r["node_importance"], r["content_importance"], r["pages"]) for r in x} if x is not None else {} for x in pdf["tree"]]
             text = [main_text(h, t, threshold) for h, t in zip(pdf["html"], trees, strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
 

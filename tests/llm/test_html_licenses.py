@@ -49,6 +49,29 @@ def test_tree_removes_what_a_site_repeats(spark):
     assert html.main_texts(empty).count() == 0
 
 
+def site(spark, page, n=20):
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(n)]
+    return {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_tree_decides_within_articles(spark):
+    def page(i):
+        return f"<body><article><h1>Head {i}</h1><p>Own <b>bold</b> text {i}</p><p>and more {i * i}</p><div class='x1'><p>Donate to <a>us</a> now</p></div></article></body>"
+
+    assert site(spark, page)[3] == "Head 3\n\nOwn bold text 3\n\nand more 9"
+    assert site(spark, page, 2)[1].endswith("Donate to us now")  # two pages tell too little
+    assert site(spark, lambda i: page(5))[3].startswith("Head 5\n\nOwn bold text 5")  # copies of one page
+
+
+def test_minor_article_is_not_the_page(spark):
+    def page(i):
+        body = "".join(f"<p>Sentence {k} of page {i} says {i * k + k}</p>" for k in range(8))
+        return f"<body><div class='top'><p>Same on all pages</p></div><div class='content'>{body}</div><article class='teaser'><p>Teaser {i}</p></article></body>"
+
+    got = site(spark, page)[3]
+    assert "Sentence 7 of page 3 says 28" in got and "Same on all" not in got and "Teaser 3" in got
+
+
 # ---- licences
 
 
