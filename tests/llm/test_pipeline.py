@@ -48,3 +48,15 @@ def test_odd_documents(spark, small):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_rows_with_one_id_or_none(spark, small):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    item = read(spark, small, "benchmark").where("item_id = 0").first()["text"]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda stage, rows: sorted((str(r["doc_id"]), r["text"]) for r in stage(spark, docs(rows), small).collect())
+    rows = [(None, say("a")), (None, say("b")), (None, say("b")), (1, say("a")), (3, say("c")), (3, say("d")), (-2, say("d"))]
+    assert texts(corpus_pipeline.drop_near_duplicates, rows) == sorted([("None", say("b")), ("1", say("a")), ("3", say("c")), ("-2", say("d"))])
+    assert texts(corpus_pipeline.drop_leaks, [(None, item), (None, say("a")), (3, item), (3, say("c"))]) == [("3", say("c")), ("None", say("a"))]
+    got = texts(corpus_pipeline.drop_repeated_lines, [(3, say("a") + "\n" + say("b")), (3, say("b") + "\n" + say("c"))])
+    assert sorted("\n".join(t for _, t in got).split("\n")) == [say("a"), say("b"), say("c")]
