@@ -86,7 +86,7 @@ def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame
     if spread is not None:
         df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ Features are the distinct runs of 8 bytes (the whole line if it is shorter).
 Signatures of 27 minima (16 bits of each) in 9 bands of 3 make candidates, exact Jaccard similarity
 decides, and of each connected component the first line stays: the one with the
 smallest doc_id and line number. Two lines of similarity 0.8 share a band with
-probability 0.998. Equal lines are one line from the start.
+probability 0.998; where a bucket holds several components yet, 15 of 27 samples
+must agree as well, as they do with probability 0.999. Equal lines are one line from
+the start.
 
 Null texts are empty. Rows that repeat a doc_id are compared like others; of their
 equal lines one stays, if their texts are equal both rows keep it. Other columns
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubeloom.llm._common import claim, mix, written
-from cubeloom.llm.lsh import linked_components
+from cubeloom.llm.lsh import Kind, as_signs, linked_components
 
 WIDTH = 8
 BANDS, ROWS = 9, 3
@@ -89,13 +91,45 @@ def signatures(lines: list[bytes]) -> list[bytes]:
     return out
 
 
-def _unpack(vec: bytes) -> tuple[np.ndarray, None]:
-    return np.frombuffer(vec, np.uint32), None
+def _keys(lines: list[bytes]) -> np.ndarray:
+    """(row << 32 | shingle) of all lines, each once, in order."""
+    sizes = np.array([max(WIDTH, len(x)) for x in lines])
+    first = np.cumsum(sizes) - sizes
+    h = shingle_hashes(np.frombuffer(b"".join(x.ljust(WIDTH, b"\0") for x in lines), np.uint8))
+    inside = np.ones(len(h), bool)
+    for k in range(1, WIDTH):  # positions that run into the next line
+        inside[first[1:] - k] = False
+    for i, x in enumerate(lines):
+        if len(x) < WIDTH:
+            h[first[i]] = xxhash.xxh32_intdigest(x)
+    row = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes - WIDTH + 1)
+    keys = np.sort(row << np.uint64(32) | h[inside])
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def shares(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Jaccard similarities of pairs of lines, about a quarter of a million positions at a time."""
+    out, at = [np.empty(0)], 0
+    while at < len(left):
+        end, size = at, 0
+        while end < len(left) and (size == 0 or size + len(left[end]) + len(right[end]) < 1 << 18):
+            size += len(left[end]) + len(right[end]) + 2 * WIDTH
+            end += 1
+        x, y = _keys(left[at:end]), _keys(right[at:end])
+        both = np.sort(np.concatenate([x, y]))
+        shift, n = np.uint64(32), end - at
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> shift).astype(np.int64), minlength=n)
+        every = np.bincount((x >> shift).astype(np.int64), minlength=n) + np.bincount((y >> shift).astype(np.int64), minlength=n) - common
+        out.append(common / every)
+        at = end
+    return np.concatenate(out)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (its number from 0), k (its name) and sig, null where the batch had it before."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("line", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """doc_id, line (its number from 0), k (its name), and sig and body, its signature
+    and levelled text, null where the batch had it before."""
+    extra = [T.StructField("line", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("body", T.BinaryType())]
+    schema = T.StructType([docs.schema["doc_id"], *extra])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("lines")
@@ -115,44 +149,23 @@ def line_table(docs: DataFrame) -> DataFrame:
                             ids.append(doc_id)
                             numbers.append(number)
                             ks.append(k)
-                sig = np.full(len(ks), None, object)
+                sig, body = np.full(len(ks), None, object), np.full(len(ks), None, object)
                 sig[at] = signatures(new)
-                yield pd.DataFrame({"doc_id": ids, "line": np.array(numbers, np.int32), "k": np.array(ks, np.int64), "sig": sig})
+                body[at] = new
+                yield pd.DataFrame({"doc_id": ids, "line": np.array(numbers, np.int32), "k": np.array(ks, np.int64), "sig": sig, "body": body})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
-def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8, most_broadcast: int = 300_000) -> DataFrame:
+def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row per line that is not blank: doc_id, line, class_doc_id, class_line, kept."""
     table = written(line_table(docs), "lines")
+    kind = Kind(BANDS, ROWS, AGREE, similarity, lambda x: as_signs(signatures(x)), shares, lambda x: (shingle_set(x), None))
+    roots = linked_components(table.where("sig is not null").select("k", "sig", "body"), kind)
     place = F.struct("doc_id", "line")
-    items = table.where("sig is not null").select("k", "sig")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def vectors_of(names: DataFrame) -> DataFrame:
-        few = names.count() <= most_broadcast  # at most as many rows, of two numbers a line
-        named = table.select("k", "doc_id", "line").join(F.broadcast(names) if few else names, "k")
-        wanted = named.groupBy("k").agg(F.min(place).alias("at")).select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.line").alias("line"), "k").alias("w"))
-        wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-        if few:
-            wanted = F.broadcast(wanted)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                ks, vecs = [], []
-                for text, found in zip(pdf["text"], pdf["wanted"], strict=True):
-                    parts = text.split("\n")
-                    for w in found:
-                        flat = level(parts[w["line"]]) if w["line"] < len(parts) else b""
-                        if xxhash.xxh64_intdigest(flat) >> 1 == w["k"]:
-                            ks.append(w["k"])
-                            vecs.append(shingle_set(flat).tobytes())
-                yield pd.DataFrame({"k": np.array(ks, np.int64), "vec": vecs})
-
-        return base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInPandas(run, "k long, vec binary")
-
-    roots = linked_components(items, BANDS, ROWS, AGREE, vectors_of, _unpack, similarity)
     rooted = table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min(place).alias("first"))
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    return rooted.join(classes, "root").select("doc_id", "line", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"), same.alias("kept"))
+    # A table of its own: a class of very many lines is then split between tasks by the join.
+    classes = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "classes", spread=None)
+    first = lambda c: F.when(F.col("first").isNull(), F.col(c)).otherwise(F.col(f"first.{c}"))
+    out = rooted.join(classes, "root", "left").select("doc_id", "line", first("doc_id").alias("class_doc_id"), first("line").alias("class_line"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line")))

@@ -5,26 +5,31 @@ Items that share a whole band are candidates, in rounds:
 
 1. each member of a bucket with the bucket's smallest member, a number of pairs
    that grows with the items; these are verified and their components found;
-2. in buckets that still hold several components, each member with the closest few
-   of other components by agreement of samples, which joins most groups of variants;
-3. in those that hold several components yet, all members of different components:
-   small buckets as pairs, large ones by products of their feature matrices, block
-   by block, from which only spanning stars of the links come back.
+2. in buckets that still hold several components, members of different components
+   whose samples agree often enough: in small buckets all of them (where a
+   verification is dear, each member's closest few first), in large ones each
+   member's closest few;
+3. in large buckets that hold several components yet, all members of different
+   components, by products of their feature matrices, block by block, from which
+   only spanning stars of the links come back.
 
 What shares a bucket and a component needs no pair, so a group of copies, however
-large, costs its own size; and no link between different components is lost.
+large, costs its own size. Two things can lose a link: its ends share no band, or
+fewer than ``agree`` of their samples are equal where that is asked (round 2, and
+round 1 if a verification is dear). The callers state both probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import flat, spanning_stars, stored
+from cubeloom.llm._common import spanning_stars, stored, written
 from cubeloom.llm.components import components
 
 BLOCK = 4000
@@ -34,6 +39,25 @@ FIRST = 3
 Vector = tuple[np.ndarray, np.ndarray | None]
 
 
+@dataclass(frozen=True)
+class Kind:
+    """What is compared, and how.
+
+    signs: payloads of items to a matrix of samples. shares: similarities of payload
+    or vector pairs. unpack: features and weights of one. vectors_of: from distinct k
+    to k, vec, which may come several times; without it the payload is the vector.
+    """
+
+    bands: int
+    rows: int
+    agree: float
+    similarity: float
+    signs: Callable[[list[bytes]], np.ndarray]
+    shares: Callable[[list[bytes], list[bytes]], np.ndarray]
+    unpack: Callable[[bytes], Vector]
+    vectors_of: Callable[[DataFrame], DataFrame] | None = None
+
+
 def _differing(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of signatures in different components that agree enough; with
     ``most``, for each x the closest few only."""
@@ -55,38 +79,44 @@ def _pairs(xk: np.ndarray, yk: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.D
     return pd.DataFrame({"a": np.minimum(xk[i], yk[j]), "b": np.maximum(xk[i], yk[j])})
 
 
-def _signs(sigs) -> np.ndarray:
+def as_signs(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), -1)
 
 
-def _blockwise(least: float, most: int | None):
+def _blockwise(kind: Kind, most: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
         if len(left) and len(right):
-            x, y = _signs(left["sig"].tolist()), _signs(right["sig"].tolist())
+            x, y = kind.signs(left["body"].tolist()), kind.signs(right["body"].tolist())
             xk, yk, xc, yc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
             for at in range(0, len(x), 256):
-                i, j = _differing(x[at : at + 256], y, xc[at : at + 256], yc, least, most)
+                i, j = _differing(x[at : at + 256], y, xc[at : at + 256], yc, kind.agree, most)
                 out.append(_pairs(xk[at : at + 256], yk, i, j))
         return pd.concat(out).drop_duplicates()
 
     return run
 
 
-def _rowwise(least: float, most: int | None):
+def _rowwise(kind: Kind, most: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-            for ks, roots, sigs in zip(pdf["ks"], pdf["roots"], pdf["sigs"], strict=True):
-                x, k, c = _signs(list(sigs)), np.asarray(ks), np.asarray(roots)
-                out.append(_pairs(k, k, *_differing(x, x, c, c, least, most)))
-            yield pd.concat(out).drop_duplicates()
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sizes = pdf["ks"].map(len).to_numpy()
+            every = kind.signs([x for body in pdf["bodys"] for x in body]) if len(pdf) else None
+            at = 0
+            for n, ks, roots in zip(sizes.tolist(), pdf["ks"], pdf["roots"], strict=True):
+                x, k, c = every[at : at + n], np.asarray(ks), np.asarray(roots)
+                at += n
+                i, j = _differing(x, x, c, c, kind.agree, most)
+                a.append(np.minimum(k[i], k[j]))
+                b.append(np.maximum(k[i], k[j]))
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
 
 
-def _share(x: Vector, y: Vector) -> float:
+def share(x: Vector, y: Vector) -> float:
     """Weighted Jaccard similarity of two vectors: sorted features, and their weights
     (1 each for None), which depend on the feature alone."""
     wx, wy = (len(v[0]) if v[1] is None else float(v[1].sum(dtype=np.float64)) for v in (x, y))
@@ -122,7 +152,7 @@ def link_matrix(left: list[Vector], right: list[Vector], apart: np.ndarray, simi
             open_ = apart[a : a + 128, b : b + step]
             out[a : a + 128, b : b + step] = open_ & (j >= similarity + 1e-4)
             for r, c in zip(*np.nonzero(open_ & (np.abs(j - similarity) < 1e-4)), strict=True):  # too close for single precision
-                out[a + r, b + c] = _share(left[a + r], right[b + c]) >= similarity
+                out[a + r, b + c] = share(left[a + r], right[b + c]) >= similarity
     return out
 
 
@@ -148,73 +178,78 @@ def _blocked(rows: DataFrame, payload: str, size: int) -> DataFrame:
     return left.unionByName(spread.where("other <= own").select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "k", payload, "root"))
 
 
-def linked_components(
-    items: DataFrame, bands: int, rows: int, agree: float, vectors_of: Callable[[DataFrame], DataFrame], unpack: Callable[[bytes], Vector], similarity: float
-) -> DataFrame:
-    """k, root of every item with a link.
-
-    items: k, sig; an item may come several times, with the same sig. vectors_of:
-    from a table of distinct k to k, vec of each, which may come several times too.
-    unpack: features and weights of a vec. agree: least share of equal samples that
-    a candidate of the rounds 1 and 2 and of small buckets needs to be verified.
-    """
-    band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows * 2, rows * 2)) for b in range(bands)]
+def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
+    """k, root of every item with a link. items: k, sig and body, the payload; an item
+    may come several times, with the same sig and body."""
+    kind, vectors_of = replace(kind, vectors_of=None), kind.vectors_of  # what goes to executors holds no table
+    wide = kind.rows * 2
+    band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * wide, wide)) for b in range(kind.bands)]
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("bucket", "first")
-    # Few rows of many have a shared bucket: no sort of all, and kept before they are counted.
-    members = flat(in_band.join(buckets.hint("shuffle_hash"), "bucket"), "members").distinct()
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    shared = flat(members.join(sizes, "bucket"), "shared")
-    live = flat(items.join(shared.select("k").distinct(), "k", "left_semi").select("k", "sig").dropDuplicates(["k"]), "live")
+    # Few rows of many have a shared bucket: no sort of all.
+    shared = written(in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct(), "shared", spread=None)
+    live = written(items.select("k", "body").join(shared.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "live", spread=None)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[_share(unpack(x), unpack(y)) >= similarity for x, y in zip(pdf["va"], pdf["vb"], strict=True)]][["a", "b"]]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        vectors = stored(vectors_of(names), "vectors")
-        with_a = pairs.join(vectors.select(F.col("k").alias("a"), F.col("vec").alias("va")), "a")
-        both = with_a.join(vectors.select(F.col("k").alias("b"), F.col("vec").alias("vb")), "b")
-        found = flat(both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long"), "links")
-        vectors.unpersist()
-        return found
+            yield pdf[kind.shares(pdf["xa"].tolist(), pdf["xb"].tolist()) >= kind.similarity][["a", "b"]]
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x, y = _signs(pdf["sig_a"].tolist()), _signs(pdf["sig_b"].tolist())
-                yield pdf[(x == y).mean(1) >= agree][["a", "b"]]
+                x, y = kind.signs(pdf["xa"].tolist()), kind.signs(pdf["xb"].tolist())
+                yield pdf[(x == y).mean(1) >= kind.agree][["a", "b"]]
+
+    def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        of = of.toDF("k", "x")
+        return pairs.join(of.select(F.col("k").alias("a"), F.col("x").alias("xa")), "a").join(of.select(F.col("k").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        vectors = live
+        if vectors_of:
+            vectors = stored(vectors_of(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()), "vectors")
+        found = written(with_both(pairs, vectors).mapInPandas(check, "a long, b long"), "links", spread=None)
+        if vectors_of:
+            vectors.unpersist()
+        return found
 
     def mixed(links: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components."""
+        """Members of buckets of three or more that hold several components."""
         roots = components(links).select(F.col("node").alias("k"), "root")
-        member = shared.where("n > 2").join(roots, "k", "left").select("bucket", "n", "k", F.coalesce("root", "k").alias("root"))
-        several = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        return flat(member.join(several, "bucket"), "mixed")
+        member = shared.join(roots, "k", "left").select("bucket", "first", "k", F.coalesce("root", "k").alias("root"))
+        several = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2").select("bucket", "n")
+        return written(member.join(several, "bucket"), "mixed", spread=None)
 
     def small_pairs(rows: DataFrame, most: int | None) -> DataFrame:
-        listed = rows.join(live, "k").groupBy("bucket").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("k", "root", "sig")])
-        return listed.mapInPandas(_rowwise(agree, most), "a long, b long")
+        """Pairs in the small buckets; those of one first member, at most one a band, are taken together."""
+        once = rows.where(F.col("n") <= SMALL).select("first", "k", "root").distinct()
+        listed = once.join(live, "k").groupBy("first").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("k", "root", "body")])
+        return listed.mapInPandas(_rowwise(kind, most), "a long, b long")
+
+    def large_pairs(rows: DataFrame) -> DataFrame:
+        return _blocked(rows.where(F.col("n") > SMALL).join(live, "k"), "body", BLOCK).groupBy("bucket", "i", "j").applyInPandas(_blockwise(kind, FIRST), "a long, b long")
 
-    stars = shared.where(F.col("k") != F.col("first")).select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
-    signed = stars.join(live.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(live.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
-    tried = flat(signed.mapInPandas(agreeing, "a long, b long"), "pairs")
+    def fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        return written(pairs.where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs", spread=None)
+
+    dear = vectors_of is not None
+    tried = shared.where(F.col("k") != F.col("first")).select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
+    if dear:
+        tried = written(with_both(tried, live).mapInPandas(agreeing, "a long, b long"), "pairs", spread=None)
     links = verified(tried)
 
     rest = mixed(links)
-    large = _blocked(rest.where(F.col("n") > SMALL).join(live, "k"), "sig", BLOCK).groupBy("bucket", "i", "j").applyInPandas(_blockwise(agree, FIRST), "a long, b long")
-    near = flat(small_pairs(rest.where(F.col("n") <= SMALL), FIRST).union(large).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    near = fresh(small_pairs(rest, FIRST if dear else None).union(large_pairs(rest)), tried)
     if not near.isEmpty():
-        tried, links = tried.union(near), links.union(verified(near))
-        rest = mixed(links)
-
-    few = flat(small_pairs(rest.where(F.col("n") <= SMALL), None).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not few.isEmpty():
-        links = links.union(verified(few))
+        links = links.union(verified(near))
+        if dear:
+            tried, rest = tried.union(near), mixed(links)
+            few = fresh(small_pairs(rest, None), tried)
+            links = links.union(verified(few))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        vectors = stored(vectors_of(many.select("k").distinct()), "vectors")
-        exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(unpack, similarity), "a long, b long")
-        links = links.union(flat(exact.where("a <> b").distinct(), "links"))
+        many = mixed(links).where(F.col("n") > SMALL)
+        vectors = stored(vectors_of(many.select("k").distinct()), "vectors") if vectors_of else live.toDF("k", "vec")
+        exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(kind.unpack, kind.similarity), "a long, b long")
+        links = links.union(written(exact.where("a <> b").distinct(), "links", spread=None))
     return components(links).select(F.col("node").alias("k"), "root")

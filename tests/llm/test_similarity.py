@@ -157,7 +157,7 @@ def test_link_matrix_equals_pairs():
     vectors = [(v, weight[v.astype(int)]) for v in sets]
     apart = draw.random((150, 150)) < 0.9
     got = lsh.link_matrix(vectors[:150], vectors[150:], apart, 0.8)
-    want = np.array([[lsh._share(a, b) >= 0.8 for b in vectors[150:]] for a in vectors[:150]]) & apart
+    want = np.array([[lsh.share(a, b) >= 0.8 for b in vectors[150:]] for a in vectors[:150]]) & apart
     assert 0 < want.sum() < want.size and (got == want).all()
 
 
