@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def claim(name: str) -> None:
                 clear()
 
 
+def trim() -> None:
+    """Hands freed memory back: a worker that waits for its next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInPandas, with trim() at the end of each task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
@@ -86,7 +105,8 @@ def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame
     if spread is not None:
         df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+    # A row group is held in memory until it is full: small ones, as several tasks write at once.
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import claim, mix, written
+from cubeloom.llm._common import claim, mix, trimmed, written
 from cubeloom.llm.lsh import Kind, as_signs, linked_components
 
 WIDTH = 8
@@ -154,7 +154,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 body[at] = new
                 yield pd.DataFrame({"doc_id": ids, "line": np.array(numbers, np.int32), "k": np.array(ks, np.int64), "sig": sig, "body": body})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(trimmed(run), schema)
 
 
 def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
