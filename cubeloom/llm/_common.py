@@ -94,6 +94,21 @@ def release() -> None:
             _HELD.popleft().unpersist()
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside loses its shuffle files at its end, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage.
 
@@ -106,7 +121,8 @@ def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame
         df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
     # A row group is held in memory until it is full: small ones, as several tasks write at once.
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.block.size", 16 << 20).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
