@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,29 +69,64 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cubeloom"
 
 
-_HELD: deque[DataFrame] = deque()
-_MOST_HELD = 48
+_HELD: list[DataFrame] = []
+_SENT: list = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """df kept for its several uses in the executors' memory and, beyond it, on their disks.
 
-    Its lineage stays, so partitions of a lost executor are made again. The
-    oldest of more than 48 kept tables is let go; what still needs it recomputes it.
+    Its lineage stays, so partitions of a lost executor are made again. scope()
+    or release() lets it go.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _HELD.append(kept)
-    while len(_HELD) > _MOST_HELD:
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
+def sent(spark: SparkSession, value):
+    """A broadcast that scope() and release() destroy."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
+def _release(held: int, sent_: int, written_: int) -> None:
+    while len(_HELD) > held:
         with contextlib.suppress(Exception):  # its session may be stopped
-            _HELD.popleft().unpersist()
-    return kept
+            _HELD.pop().unpersist()
+    while len(_SENT) > sent_:
+        with contextlib.suppress(Exception):
+            _SENT.pop().destroy()
+    while len(_WRITTEN) > written_:
+        with contextlib.suppress(Exception):
+            remove(*_WRITTEN.pop())
 
 
 def release() -> None:
-    """Lets go of all tables kept by operators of this process."""
-    while _HELD:
-        with contextlib.suppress(Exception):
-            _HELD.popleft().unpersist()
+    """Lets go of all tables, broadcasts and written tables of operators of this process;
+    results that were not read before cannot be read any more."""
+    _release(0, 0, 0)
+
+
+atexit.register(release)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """What operators keep, send and write inside is let go at the end."""
+    marks = len(_HELD), len(_SENT), len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _release(*marks)
+        trim()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -109,34 +144,29 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str = "t", spread: int | None = 8) -> DataFrame:
+def written(df: DataFrame, name: str = "t", spread: int | None = 8, own: bool = True) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage.
 
     One task writes the partitions of up to `spread` shuffle partitions, one after
     the other, so that small tables don't become thousands of files; there are at
-    least two tasks per core. Without spread each partition is a file.
+    least two tasks per core. Without spread each partition is a file. A table that
+    is not the operator's own outlives its scope.
     """
     spark = df.sparkSession
     if spread is not None:
         df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
+    if own:
+        _WRITTEN.append((spark, path))
     # A row group is held in memory until it is full: small ones, as several tasks write at once.
     with _shuffles_removed(spark):
         df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def flat(df: DataFrame, name: str = "t") -> DataFrame:
-    """df made once, counted and written, in a file per 100,000 rows (of a million, in
-    tables beyond two files per core): cuts lineage and plan without many small files."""
-    spark = df.sparkSession
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.count()
-    files = max(1, min(n // 100_000, 2 * cores(spark)), n // 1_000_000)
-    path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
-    kept.coalesce(files).write.option("compression", "zstd").parquet(path)
-    kept.unpersist()
-    return spark.read.schema(df.schema).parquet(path)
+def folder_of(table: DataFrame) -> str:
+    """Where a written table stands."""
+    return table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else ""
 
 
 def held_out_column(doc_id: str = "doc_id"):
@@ -169,8 +199,9 @@ def spanning_stars(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of_row, of_col
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, seed: int):
-    """(text, y) rows to learn from: at most per_class of each label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, seed: int, most_chars: int):
+    """(texts, y) to learn from: at most per_class rows of each label, one of a doc_id,
+    and no text longer than most_chars: 2 * per_class * most_chars characters at most.
 
     Rows in the held-out third, with a null label or a label that is neither 0
     nor 1 are left out. The pick follows a hash of doc_id: the same on every run.
@@ -182,8 +213,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         part = lab.where(F.col("y") == y).orderBy(key, "doc_id").limit(per_class)
         pick = part if pick is None else pick.unionByName(part)
     # at most 2 * per_class rows of two integers: bounded, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "doc_id")
-    rows = got.toPandas().sort_values(["doc_id", "y", "text"], kind="stable")
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+    got = short.join(F.broadcast(pick.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = got.toPandas().sort_values(["doc_id", "y"], kind="stable")
     return rows["text"].tolist(), rows["y"].to_numpy(np.float64)
 
 

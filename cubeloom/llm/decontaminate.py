@@ -1,22 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of 32 words, 16 apart, over whole documents; items are the
-benchmark's texts. Words are hashed to 2^20 features and weighted by the square
-root of their number times the inverse document frequency over all documents.
-
-A passage goes on for either of two reasons. It holds enough words of one item: an
-index from each item's rarest words to the item (``Held``) finds every stretch
-whose common subsequence with it can be long enough, however common its words are.
-Or the features that occur in any item make up half of its length. The passages
-form a sparse matrix A. A distributed randomised SVD of A (a block of random vectors sent
-through A'A, a power step, an orthonormal basis Q, then the eigenvectors of
-Q'A'AQ) gives the latent space. The block is seeded with the items, so their own
-directions are in Q and a verbatim copy is never projected away.
-
-Pairs of close latent vectors and pairs from the index are candidates. Their words
-are compared: the longest common subsequence of an item and a stretch of the
-document must cover enough of the item, and enough of its answer, which is its last
-sentence. The result is that of this comparison over every document and item.
+Documents are turned into word hashes once; passages are windows of 32 words, 16
+apart, over whole documents; items are the benchmark's texts. Words are weighted by
+the square root of their number times the inverse document frequency over all
+documents, in 2^20 features.
+
+The matrix A holds the passages that features of the items make up half of the length
+of (others cannot have a cosine of a half with an item), in the columns of the items'
+features. A distributed randomised SVD of A (a block of random vectors sent through
+A'A, a power step, an orthonormal basis Q, then the eigenvectors of Q'A'AQ) gives its
+leading RANK directions, the latent space. Passages and items that are close there
+are candidates. So are those of an index from each item's rarest words to the item
+(``Held``), which finds every stretch that holds enough of an item's words, whether
+or not the latent space has a direction for it: no copy is lost to the truncation.
+
+Candidates are compared word by word. A stretch is a copy if its longest common
+subsequence with the item covers enough of the item, and enough of its answer, which
+is its last sentence. It is a paraphrase if passage and item are close in the latent
+space, it holds most of the item's weight in any order, some of it in order, and most
+of the answer's words.
 
 Items are taken in blocks of bounded size, each against all documents. Null texts
 are empty; items without words match nothing; equal items are reported each. Rows
@@ -34,18 +36,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import flat, stored
+from cubeloom.llm._common import sent, stored, trimmed, written
 from cubeloom.llm.counters import BITS, MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
 
 WINDOW, STRIDE = 32, 16
 LEAST_SHARE = 0.5
-LEAST_COSINE = 0.45
-LEAST_COVER = 0.3
+LEAST_COSINE = 0.5
+#: Least latent cosine, weight of the item in any order, share of it in order, and share of the answer's words.
+PARAPHRASE = 0.7, 0.7, 0.3, 0.6
 #: Share of the words a match needs that must be among the item's rarest; any value loses nothing.
 RARE = 0.3
-RANDOM = 48
-BLOCK_ITEMS, BLOCK_WORDS = 256, 40_000
+RANK, OVER = 96, 16
+BLOCK_ITEMS, BLOCK_WORDS = 512, 40_000
+#: Row ranges of a dense matrix that are added up apart.
+PARTS = 64
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -115,6 +120,39 @@ def match(item: list[bytes], answer: int, doc: list[bytes], lo: int, hi: int, ne
     return best
 
 
+def paraphrase(item: list, answer: int, doc: list, lo: int, hi: int, weight: dict) -> tuple[float, float, float]:
+    """Of the stretch of doc[lo:hi] that holds most of the item's weight, in any order:
+    that share, the share of the item in order, and the share of the answer's words."""
+    m = len(item)
+    left = dict.fromkeys(item, 0)
+    for w in item:
+        left[w] += 1
+    total = sum(weight[w] for w in item)
+    places = [p for p in range(lo, hi) if doc[p] in left]
+    other = [doc[p] for p in places]
+    held, best, at, end, reach = 0.0, (0.0, 0, 0), 0, 0, reach_of(m)
+    for k, p in enumerate(places):
+        while end < len(places) and places[end] < p + reach:
+            held += weight[other[end]] if left[other[end]] > 0 else 0.0
+            left[other[end]] -= 1
+            end += 1
+        if held > best[0] + 1e-9:
+            best = held, k, end
+        left[other[k]] += 1
+        held -= weight[other[k]] if left[other[k]] > 0 else 0.0
+    held, at, end = best
+    some = other[at:end]
+    tail, there = item[m - answer :], {}
+    for w in some:
+        there[w] = there.get(w, 0) + 1
+    got = 0
+    for w in tail:
+        if there.get(w, 0) > 0:
+            there[w] -= 1
+            got += 1
+    return held / max(total, 1e-12), common_subsequence(_masks(item), some, m) / m, got / answer
+
+
 class Held:
     """Index from the rarest words of items to the items.
 
@@ -190,9 +228,16 @@ def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, weight, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(pdf)), sizes)
 
 
+def _parts(total: np.ndarray, salt: int) -> pd.DataFrame:
+    """A dense matrix in row ranges."""
+    cuts = np.linspace(0, len(total), min(PARTS, len(total)) + 1).astype(int)
+    n = len(cuts) - 1
+    return pd.DataFrame({"part": np.arange(n, dtype=np.int32), "salt": np.full(n, salt, np.int32), "body": [total[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+
 def gram_product(passages: DataFrame, block: np.ndarray) -> np.ndarray:
     """A'A block, for a block of as many rows as there are features."""
-    shared = passages.sparkSession.sparkContext.broadcast(block)
+    shared = sent(passages.sparkSession, block.astype(np.float32))
     shape = block.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,20 +245,21 @@ def gram_product(passages: DataFrame, block: np.ndarray) -> np.ndarray:
         for whole in batches:
             for c in range(0, len(whole), 1000):
                 ids, weight, starts, row = _rows(whole.iloc[c : c + 1000])
-                through = np.add.reduceat(shared.value[ids] * weight[:, None], starts)[row] * weight[:, None]
+                weight = weight.astype(np.float32)[:, None]
+                through = np.add.reduceat(shared.value[ids] * weight, starts)[row] * weight
                 order = np.argsort(ids, kind="stable")
                 uniq, first = np.unique(ids[order], return_index=True)
                 total[uniq] += np.add.reduceat(through[order], first)
                 salt = (salt * 31 + len(ids)) % 61
         if total.any():
-            yield pd.DataFrame({"salt": [salt], "body": [total.tobytes()]})
+            yield _parts(total, salt)
 
     return _added_up(passages, run, shape)
 
 
 def projected_gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
     """(A basis)'(A basis)."""
-    shared = passages.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
+    shared = sent(passages.sparkSession, basis.astype(np.float32))
     width = basis.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,31 +271,41 @@ def projected_gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
                 total += through.T @ through
                 salt = (salt * 31 + len(ids)) % 61
         if total.any():
-            yield pd.DataFrame({"salt": [salt], "body": [total.tobytes()]})
+            yield _parts(total, salt)
 
     return _added_up(passages, run, (width, width))
 
 
 def _added_up(passages: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of the matrices that run() makes of the passages, in two steps."""
+    """Sum of the matrices that run() makes of the passages: row range by row range, in
+    two steps, so that no task holds more than a 64th of what a 61st of all tasks made."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"salt": np.zeros(1, np.int32), "body": [sum(np.frombuffer(b) for b in pdf["body"]).tobytes()]})
-
-    kind = "salt int, body binary"
-    found = passages.select("ids", "weights").mapInPandas(run, kind).groupBy("salt").applyInPandas(add, kind).groupBy("salt").applyInPandas(add, kind).collect()
-    return np.frombuffer(found[0]["body"]).reshape(shape) if found else np.zeros(shape)
+        total = np.frombuffer(pdf["body"].iloc[0]).copy()
+        for b in pdf["body"].iloc[1:]:
+            total += np.frombuffer(b)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "salt": np.zeros(1, np.int32), "body": [total.tobytes()]})
+
+    kind = "part int, salt int, body binary"
+    found = passages.select("ids", "weights").mapInPandas(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
+    out = np.zeros(shape)
+    cuts = np.linspace(0, shape[0], min(PARTS, shape[0]) + 1).astype(int)
+    for r in found:
+        i, j = cuts[r["part"]], cuts[r["part"] + 1]
+        out[i:j] = np.frombuffer(r["body"]).reshape(j - i, shape[1])
+    return out
 
 
-def latent_basis(passages: DataFrame, items: np.ndarray, random: int = RANDOM) -> np.ndarray:
-    """Right singular vectors of the passages (features x rank), the items' own
-    directions among them. items: items x features."""
-    draw = np.random.default_rng(9).standard_normal((items.shape[1], min(random, items.shape[1])))
-    seeded = _orthonormal(gram_product(passages, draw))
-    seeded = _orthonormal(gram_product(passages, seeded)) if seeded.shape[1] else seeded
-    q = _orthonormal(np.concatenate([items.T, seeded], 1))
+def latent_basis(passages: DataFrame, features: int, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors of the passages: features x at most rank."""
+    q = np.random.default_rng(9).standard_normal((features, min(rank + OVER, features)))
+    for _ in range(2):
+        q = _orthonormal(gram_product(passages, q))
+        if not q.shape[1]:
+            return q
     values, vectors = np.linalg.eigh(projected_gram(passages, q))
-    return q @ vectors[:, np.argsort(-values)]
+    lead = np.argsort(-values)[:rank]
+    return q @ vectors[:, lead[values[lead] > 1e-9 * values.max()]]
 
 
 def _blocks(items: Iterator) -> Iterator[list]:
@@ -265,26 +321,34 @@ def _blocks(items: Iterator) -> Iterator[list]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, need: float = 0.6, need_answer: float = 0.5, most_broadcast: int = 300_000) -> DataFrame:
-    """One row per document and benchmark item that it holds: doc_id, item_id,
-    cosine (latent), overlap (share of the item's words in order), answer (share of its answer's)."""
+    """One row per document and benchmark item that it holds: doc_id, item_id, cosine
+    (latent), overlap (share of the item's words in order), answer (share of its
+    answer's), cover (share of its weight in any order; null for copies)."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    frequency, total = document_frequencies(base.select("text"), lambda t: np.unique(features(list(set(words(t))))))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": [features(words(t)).tobytes() for t in pdf["text"]]})
+
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = written(base.mapInPandas(trimmed(tokens), f"doc_id {id_type}, words binary"), "words").where(F.length("words") > 0)
+    frequency, total = document_frequencies(base.select("words"), lambda t: np.unique(np.frombuffer(t, np.uint32) & MASK))
+    total = max(total, 1)
     idf = np.log((1.0 + total) / (1.0 + np.minimum(frequency, total))).astype(np.float32)
-    shared_idf = spark.sparkContext.broadcast(idf)
-    schema = f"doc_id {id_type}, item_id {item_type}, cosine double, overlap double, answer double"
+    shared_idf = sent(spark, idf)
+    schema = f"doc_id {id_type}, item_id {item_type}, cosine double, overlap double, answer double, cover double"
     out = spark.createDataFrame([], schema)
     read = ((r["item_id"], words((r["text"] or "").encode()), r["text"] or "") for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator())
     for block in _blocks(it for it in read if it[1]):
-        out = out.unionByName(_block_leaks(base, block, shared_idf, schema, id_type, need, need_answer, most_broadcast))
-    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "overlap", "answer")])
+        out = out.unionByName(_block_leaks(base, block, idf, shared_idf, schema, id_type, need, need_answer, most_broadcast))
+    best = F.struct(F.col("cover").isNull().alias("copy"), "overlap", "answer", "cosine", "cover")
+    return out.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", *[f"b.{c}" for c in ("cosine", "overlap", "answer", "cover")])
 
 
-def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type: str, need: float, need_answer: float, most_broadcast: int) -> DataFrame:
+def _block_leaks(base: DataFrame, block: list, idf: np.ndarray, shared_idf, schema: str, id_type: str, need: float, need_answer: float, most_broadcast: int) -> DataFrame:
     spark = base.sparkSession
-    idf = shared_idf.value
     slots = np.unique(np.concatenate([features(ws) & MASK for _, ws, _ in block]))
     column = np.full(1 << BITS, -1, np.int32)
     column[slots] = np.arange(len(slots))
@@ -295,8 +359,8 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     items = np.sqrt(items) * idf[slots]
     lengths = np.sqrt((items * items).sum(1))
     items /= np.maximum(lengths, 1e-12)[:, None]
-    shared_column = spark.sparkContext.broadcast(column)
-    shared_held = spark.sparkContext.broadcast(Held([features(ws) & MASK for _, ws, _ in block], idf, need))
+    shared_column = sent(spark, column)
+    shared_held = sent(spark, Held([features(ws) & MASK for _, ws, _ in block], idf, need))
 
     def some(docs: list[tuple], weights: np.ndarray, squares: np.ndarray, shared: np.ndarray) -> list[tuple]:
         columns = shared_column.value
@@ -333,11 +397,10 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
         shared = np.where(columns >= 0, squares, 0.0)
         for pdf in batches:
             rows, docs, n = [], [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                slot = features(words(text)) & MASK
-                if len(slot):
-                    docs.append((doc_id, slot))
-                    n += len(slot)
+            for doc_id, body in zip(pdf["doc_id"], pdf["words"], strict=True):
+                slot = np.frombuffer(body, np.uint32) & MASK
+                docs.append((doc_id, slot))
+                n += len(slot)
                 if n > 100_000:
                     rows += some(docs, weights, squares, shared)
                     docs, n = [], 0
@@ -345,25 +408,24 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
                 rows += some(docs, weights, squares, shared)
             yield pd.DataFrame(rows, columns=["doc_id", "start", "norm", "ids", "weights", "held"])
 
-    passages = flat(base.mapInPandas(reduce, f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>, held array<int>"), "passages")
-    basis = latent_basis(passages, items)
+    passages = written(base.mapInPandas(trimmed(reduce), f"doc_id {id_type}, start int, norm double, ids array<int>, weights array<float>, held array<int>"), "passages")
+    basis = latent_basis(passages.where("norm > 0"), len(slots))
     latent = items @ basis
-    # a passage is at most WINDOW / m of an item of m words: the bars of long items fall with that
+    # a passage is at most WINDOW / m of an item of m words: the bar of long items falls with that
     part = np.minimum(1.0, 2 * WINDOW / np.array([len(ws) for _, ws, _ in block]))
-    bars = (LEAST_COSINE * np.sqrt(part)).astype(np.float32), (LEAST_COVER * part).astype(np.float32)
-    shared = spark.sparkContext.broadcast((basis.astype(np.float32), latent.astype(np.float32), lengths.astype(np.float32), bars))
+    latent /= np.maximum(np.sqrt((latent * latent).sum(1)), 0.1)[:, None]  # an item that is hardly in the space is close to nothing
+    shared = sent(spark, (basis.astype(np.float32), latent.astype(np.float32), (LEAST_COSINE * np.sqrt(part)).astype(np.float32)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, q, sizes, (least_cosine, least_cover) = shared.value
+        v, q, least_cosine = shared.value
         for whole in batches:
             for c in range(0, len(whole), 1000):
                 pdf = whole.iloc[c : c + 1000]
                 ids, weight, starts, _ = _rows(pdf)
                 p = np.add.reduceat(v[ids] * weight[:, None].astype(np.float32), starts)
-                dot = p @ q.T
-                cosine = dot / np.maximum(np.sqrt((p * p).sum(1)), 1e-12)[:, None]
-                cover = dot * pdf["norm"].to_numpy(np.float32)[:, None] / np.maximum(sizes, 1e-12)[None, :]
-                close = (cosine >= least_cosine) & (cover >= least_cover)
+                # the length over all of a passage's words, not those of items alone
+                cosine = p @ q.T / np.maximum(np.sqrt((p * p).sum(1)), 0.5)[:, None]
+                close = cosine >= least_cosine
                 for r, held in enumerate(pdf["held"]):
                     if len(held):
                         close[r, held] = True
@@ -374,13 +436,14 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
     wanted = found.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("start", "item", "cosine")])
     if found.count() <= most_broadcast:  # three numbers each
         wanted = F.broadcast(wanted)
-    texts = spark.sparkContext.broadcast([(item_id, ws, answer_length(text, len(ws))) for item_id, ws, text in block])
+    known = [(item_id, f := features(ws).tolist(), answer_length(text, len(ws)), {w: float(idf[w & int(MASK)]) for w in f}) for item_id, ws, text in block]
+    texts = sent(spark, known)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, starts, which, cosines in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["items"], pdf["cosines"], strict=True):
-                doc = words(text)
+            for doc_id, body, starts, which, cosines in zip(pdf["doc_id"], pdf["words"], pdf["starts"], pdf["items"], pdf["cosines"], strict=True):
+                doc = np.frombuffer(body, np.uint32).tolist()
                 spans: dict[int, list] = {}
                 for i, start, cosine in sorted(zip(which, starts, cosines, strict=True)):
                     reach = reach_of(len(texts.value[i][1]))
@@ -391,16 +454,21 @@ def _block_leaks(base: DataFrame, block: list, shared_idf, schema: str, id_type:
                     else:
                         found.append([lo, hi, cosine])
                 for i, found in spans.items():
-                    item_id, ws, answer = texts.value[i]
-                    share = least_share(len(ws), need)
+                    item_id, ws, answer, weight = texts.value[i]
+                    bar = least_share(len(ws), need)
                     for lo, hi, cosine in found:
-                        got = match(ws, answer, doc, lo, hi, share, need_answer)
-                        if got[0] >= share and got[1] >= need_answer:
-                            rows.append((doc_id, item_id, cosine, *got))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "overlap", "answer"])
+                        got = match(ws, answer, doc, lo, hi, bar, need_answer)
+                        if got[0] >= bar and got[1] >= need_answer:
+                            rows.append((doc_id, item_id, cosine, *got, None))
+                        elif cosine >= PARAPHRASE[0] and len(ws) >= 10:
+                            cover, order, ending = paraphrase(ws, answer, doc, lo, hi, weight)
+                            if cover >= PARAPHRASE[1] and order >= PARAPHRASE[2] and ending >= PARAPHRASE[3]:
+                                rows.append((doc_id, item_id, cosine, order, ending, cover))
+            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "overlap", "answer", "cover"])
+            yield out.astype({"cover": "float64"})
 
     named = wanted.withColumnRenamed("doc_id", "_doc")
-    return base.join(named, base["doc_id"].eqNullSafe(named["_doc"])).select("doc_id", "text", "starts", "items", "cosines").mapInPandas(verify, schema)
+    return base.join(named, base["doc_id"].eqNullSafe(named["_doc"])).select("doc_id", "words", "starts", "items", "cosines").mapInPandas(verify, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

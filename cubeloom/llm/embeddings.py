@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import spanning_stars, stored
+from cubeloom.llm._common import sent, spanning_stars, stored
 from cubeloom.llm.components import components
 
 BLOCK = 3000
@@ -105,7 +105,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
         for r in sorted(drawn, key=lambda r: r["rep"]):
             pivots.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(r["vec"], np.float64))
         pivots = {k: np.stack(v) for k, v in pivots.items()}
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = sent(spark, pivots)
     reach = 2 * np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
 
     def cells(batches):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import claim, stored
+from cubeloom.llm._common import claim, sent, stored
 
 _NAME = r"[a-zA-Z][^\s/>]*+"
 _MARK = re.compile(
@@ -311,7 +311,7 @@ def main_texts(pages: DataFrame, threshold: float = 0.25, most_broadcast: int =
     else:
         lists = tree.groupBy("host").agg(F.collect_list(F.struct("path", "node_importance", "content_importance", "pages")).alias("tree"))
         base = base.join(lists, "host", "left")
-    shared = spark.sparkContext.broadcast(known)
+    shared = sent(spark, known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import claim
+from cubeloom.llm._common import claim, sent
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     tokens = {w for t in [*phrases, *(x for v in templates.values() for x in v)] for w in t.encode().split()}
-    index = docs.sparkSession.sparkContext.broadcast(Index(phrases, templates, threshold, template_counts(docs, tokens)))
+    index = sent(docs.sparkSession, Index(phrases, templates, threshold, template_counts(docs, tokens)))
     longs = [T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")]
     schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import mix, written
+from cubeloom.llm._common import mix, sent, written
 from cubeloom.llm.counters import MASK, document_frequencies, word_hashes
 from cubeloom.llm.licenses import words
 from cubeloom.llm.lsh import Kind, as_signs, linked_components, share
@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     frequency, total = document_frequencies(base.select("text"), lambda t: shingles(t)[0])
-    idf = spark.sparkContext.broadcast(inverse_frequencies(frequency, total))
+    idf = sent(spark, inverse_frequencies(frequency, total))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import cache, claim, stored
+from cubeloom.llm._common import cache, claim, sent, stored
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, "_WordIds"] = {}
@@ -267,7 +267,7 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> Dat
     for r in found:
         hist[r["length"]] = r["count"]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(plan(hist, length))
+    shared = sent(spark, plan(hist, length))
     groups = int(min(max(hist.sum() // 100_000, 64), 8192))
 
     salted = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))

@@ -5,8 +5,8 @@ Tokens are runs of letters or digits and runs of one other visible sign, so
 punctuation habits and letter case count. A text's vector holds its hashed
 unigrams and bigrams: the square root of their counts, scaled to length 1. A
 score is the logistic function of one sparse dot product. The fit uses at most
-``per_class`` labelled rows of each class; every document is scored, over its
-whole text.
+``per_class`` labelled rows of each class, of texts of at most ``most_chars``
+characters; every document is scored, over its whole text.
 
 Null and empty texts score as the intercept alone. With no labelled rows of one
 class, the intercept follows the rows there are. Repeated rows are scored each;
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample
+from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample, sent, trim
 
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -99,20 +99,21 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, bet
     return QualityModel(bits, float(w[-1]), w[:-1].astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_chars: int = 50_000) -> QualityModel:
     """The classes are drawn evenly; the intercept then returns half-way to the
     odds of all labelled rows, which keeps short texts of the common class."""
-    texts, y = labelled_sample(docs, labels, "quality", per_class, seed=5)
+    texts, y = labelled_sample(docs, labels, "quality", per_class, 5, most_chars)
     model = fit(texts, y)
     seen = labels.where(~held_out_column() & F.col("quality").isin(0, 1)).agg(F.sum("quality").alias("one"), F.count("*").alias("n")).first()
     if 0 < (seen["one"] or 0) < seen["n"] and 0 < y.sum() < len(y):
         model.intercept += 0.5 * float(np.log(seen["one"] / (seen["n"] - seen["one"])) - np.log(y.sum() / (len(y) - y.sum())))
+    trim()
     return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    shared = sent(docs.sparkSession, train(docs, labels, per_class))
     base = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

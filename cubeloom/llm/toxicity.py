@@ -3,8 +3,8 @@
 A text's features are the distinct character n-grams inside its lower-cased
 words, word edges marked. Each feature is scaled by the naive Bayes log-count
 ratio of the two classes, and a logistic regression is fitted on the scaled
-features. The fit uses at most ``per_class`` labelled rows of each class; every
-document is scored, over its whole text.
+features. The fit uses at most ``per_class`` labelled rows of each class, of texts of
+at most ``most_chars`` characters; every document is scored, over its whole text.
 
 Null and empty texts, and texts without letters, get the score of the intercept.
 With no labelled rows of one class, every text gets that class's prior.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample
+from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample, sent, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 _SEEN: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight in the model _SEEN_BY
@@ -110,17 +110,27 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
         f = f[f >= 0]
         cols.append(f)
         ptr.append(ptr[-1] + len(f))
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ptr))
+    col = np.concatenate(cols)
     del docs, cols, every, held, count
+    # Row blocks of about 200,000 features, so that nothing as long as col is made beside it.
+    ptr, cuts = np.array(ptr), [0]
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ptr, ptr[cuts[-1]] + 200_000, "right")) - 1))
+    blocks = [(i, j, col[ptr[i] : ptr[j]], np.repeat(np.arange(j - i), np.diff(ptr[i : j + 1]))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def by_row(of_feature: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, of_feature[c], j - i) for i, j, c, row in blocks])
+
+    def by_feature(of_row: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(c, of_row[i:j][row], len(r)) for i, j, c, row in blocks)
+
     w, b = np.zeros(len(r)), 0.0
-    value = r[col]
-    per_row = np.bincount(row, value * value, len(y))
-    step = len(y) ** 0.5 / (0.25 * np.percentile(per_row, 95) + l2 + 1.0)  # longer than the bound for dense rows: these are sparse
+    step = len(y) ** 0.5 / (0.25 * np.percentile(by_row(r * r), 95) + l2 + 1.0)  # longer than the bound for dense rows: these are sparse
     wv, bv, k = w.copy(), b, 1.0
     for _ in range(rounds):  # accelerated gradient descent on the regularised log loss
-        z = np.bincount(row, value * wv[col], len(y)) + bv
+        z = by_row(r * wv) + bv
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        gw, gb = np.bincount(col, value * g[row], len(r)) + l2 / len(y) * wv, g.sum()
+        gw, gb = r * by_feature(g) + l2 / len(y) * wv, g.sum()
         w2, b2 = wv - step * gw, bv - step * gb
         k2 = (1 + (1 + 4 * k * k) ** 0.5) / 2
         wv, bv = w2 + (k - 1) / k2 * (w2 - w), b2 + (k - 1) / k2 * (b2 - b)
@@ -131,14 +141,15 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
     return ToxicityModel(bits, float(b), dict(zip(ids[live].tolist(), coef[live].tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
-    texts, y = labelled_sample(docs, labels, "toxic", per_class, seed=8)
-    return fit(texts, y)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 50_000) -> ToxicityModel:
+    model = fit(*labelled_sample(docs, labels, "toxic", per_class, 8, most_chars))
+    trim()
+    return model
 
 
 def scorer(spark: SparkSession, model: ToxicityModel):
     """A column function from text to score; null texts count as empty."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark, model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
