@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import decontaminate, lines, minhash, packing, toxicity
-from cubeloom.llm._common import read, written
+from cubeloom.llm._common import folder_of, read, remove, scope, written
 
 TOXIC = 0.7
 
@@ -104,7 +104,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages; what a stage keeps, sends and writes is let go once its rows are
+    written, and so are these when the next stage's are."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), spread=None)
+        with scope():
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), spread=None, own=False)
+        if before:
+            remove(spark, before)
+        before = folder_of(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
