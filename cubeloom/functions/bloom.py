@@ -1,11 +1,12 @@
-"""Bloom filters as columns of bit positions, and as Spark's own sketch."""
+"""Bloom filters as tables of 64-bit words, made and probed by columns."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,15 +36,43 @@ def positions(key: Column, shape: BloomShape) -> Column:
 
 
 def build(items: DataFrame, key: str, shape: BloomShape) -> DataFrame:
-    """word, mask: the set bits, 64 in a word."""
-    bit = items.select(F.explode(positions(F.col(key), shape)).alias("bit"))
+    """word, mask: the words with set bits. Null keys are passed over."""
+    bit = items.where(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), shape)).alias("bit"))
     return bit.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    """A filter that holds nothing."""
+    return spark.createDataFrame([], "word long, mask long")
+
+
+def merge(*filters: DataFrame) -> DataFrame:
+    """The filter of all that was built into filters of one shape."""
+    return reduce(DataFrame.unionByName, filters).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def estimate(built: DataFrame, shape: BloomShape) -> DataFrame:
+    """bits set, n (items, estimated from them) and rate (of false positives now)."""
+    bits = F.coalesce(F.sum(F.bit_count("mask")), F.lit(0))
+    share = bits / F.lit(float(shape.bits))
+    n = F.when(share < 1, -F.lit(shape.bits / shape.hashes) * F.log(1 - share)).otherwise(F.lit(float("inf")))
+    return built.agg(bits.alias("bits"), n.alias("n"), F.pow(share, F.lit(shape.hashes)).alias("rate"))
+
+
 def probe(items: DataFrame, key: str, built: DataFrame, shape: BloomShape) -> DataFrame:
-    """items with ``might_contain``; never false for a key that was built in. The
-    filter has a fixed number of words, so it is broadcast."""
-    words = built.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("_words"))
+    """items with ``might_contain``; never false for a key that was built in, false for null keys.
+
+    The words stand in one array, read by index. It has a fixed length (1.3 MB for a
+    million items at 0.01), so it is broadcast whatever the tables.
+    """
+    every = built.sparkSession.range(math.ceil(shape.bits / 64)).select(F.col("id").alias("word"))
+    full = every.join(built, "word", "left").select(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")).alias("w"))
+    words = full.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["mask"]).alias("_words"))
+    bit = lambda p: F.getbit(F.get("_words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
     j = items.join(F.broadcast(words))
-    hit = F.forall(positions(F.col(key), shape), lambda p: F.getbit(F.coalesce(F.try_element_at("_words", F.floor(p / 64)), F.lit(0)), (p % 64).cast("int")) == 1)
-    return j.withColumn("might_contain", F.coalesce(hit, F.lit(False))).drop("_words")
+    return j.withColumn("might_contain", F.col(key).isNotNull() & F.forall(positions(F.col(key), shape), bit)).drop("_words")
+
+
+def contains_all(items: DataFrame, key: str, built: DataFrame, shape: BloomShape) -> bool:
+    """Whether the filter may hold every key."""
+    return probe(items, key, built, shape).where("not might_contain").isEmpty()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions.timebucket import round_down
+from cubeloom.operators.enrich import small_enough
 from cubeloom.plans.spec import Composite, CubeSpec, Descriptor, Field
 
 
@@ -124,6 +125,13 @@ def group(parts: DataFrame, spec: CubeSpec) -> DataFrame:
     return wide.groupBy(*names).agg(F.sum("n_events").alias("n_events"), *[make(F.col(c)).alias(c) for c, make in merges.items()])
 
 
+def regroup(grouped: DataFrame, spec: CubeSpec) -> DataFrame:
+    """Rows of group(), of several epochs, merged."""
+    keys = [f.name for f in spec.keys if f.name in grouped.columns]
+    merges = {f"{n}_{v}": make for (v, _), a in needed(spec).items() for n, make in a.merge.items()}
+    return grouped.groupBy("dd_id", "time_bucket", "time", *keys).agg(F.sum("n_events").alias("n_events"), *[make(F.col(c)).alias(c) for c, make in merges.items()])
+
+
 def column(value: str, aggregate: str) -> str:
     """Name of an aggregate's column in the cube."""
     return f"{value}_{aggregate.lower()}"
@@ -182,3 +190,15 @@ def seen_keys(df: DataFrame, keys: list[str], time: str | None = None) -> DataFr
     if time is None:
         return rows.distinct()
     return rows.groupBy("key", "value").agg(F.min(time).alias("from_time"), F.max(time).alias("to_time"))
+
+
+def every_pair(times: DataFrame, values: DataFrame, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """The grid of all buckets and all values of a starred key: as many rows as the answer has.
+
+    Values are sent to all executors only if they are few; else they are dealt into
+    parts, which each time is copied to and meets in as many tasks.
+    """
+    if small_enough(values, most):
+        return times.join(F.broadcast(values), how="cross")
+    dealt = values.withColumn("_part", F.pmod(F.xxhash64(*values.columns), F.lit(salts)))
+    return times.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).join(dealt, "_part").drop("_part")

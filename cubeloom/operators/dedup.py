@@ -6,13 +6,15 @@ cubeloom.streaming.dedup.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cubeloom.functions.bloom import BloomShape, build, probe
+
 
 def by_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """disposition: the first row of a key is unique, others are duplicates."""
@@ -20,82 +22,146 @@ def by_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.withColumn("disposition", F.when(F.row_number().over(w) == 1, "unique").otherwise("duplicate"))
 
 
+def _in_ranges(df: DataFrame, seq: str, groups: int) -> DataFrame:
+    """df with _range, the number of the stretch of its order that a row lies in."""
+    cuts = sorted(set(df.approxQuantile(seq, [i / groups for i in range(1, groups)], 0.5 / groups))) if groups > 1 else []
+
+    def search(lo: int, hi: int) -> Column:  # a tree of comparisons: eight for 256 ranges
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(seq) <= cuts[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return df.withColumn("_range", search(0, len(cuts)))
+
+
+def _carried(ranged: DataFrame, total: Column, fold) -> DataFrame:
+    """_range and _sofar: fold of the totals of the ranges before; one row per range."""
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(total.alias("_total"))
+    return F.broadcast(totals.withColumn("_sofar", fold("_total").over(w)).drop("_total"))
+
+
 def prefix_max(df: DataFrame, value: str, seq: str, out: str, groups: int = 256) -> DataFrame:
     """Largest value of all rows before, by seq; null on the first row.
 
     The order is cut into ranges, each range's maximum is carried to the later
     ones in a table of one row per range, and only ranges are sorted: no step
-    takes all rows in one task. df is read twice; it should be cheap or cached.
+    takes all rows in one task. df is read three times; it should be cheap or cached.
     """
-    cuts = [r for r in df.approxQuantile(seq, [i / groups for i in range(1, groups)], 0.1 / groups)] if groups > 1 else []
-    cuts = sorted(set(cuts))
-    at = F.lit(0)
-    if cuts:
-        shelf = F.array(*[F.lit(c) for c in cuts])
-        at = F.size(F.filter(shelf, lambda c: c < F.col(seq)))
-    ranged = df.withColumn("_range", at)
-    most = ranged.groupBy("_range").agg(F.max(value).alias("_most"))
-    before = most.withColumn("_carried", F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_most")
+    ranged = _in_ranges(df, seq, groups)
     inside = F.max(value).over(Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    joined = ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range", "left")  # one row per range
-    return joined.withColumn(out, F.greatest("_inside", "_carried")).drop("_range", "_inside", "_carried")
+    joined = ranged.withColumn("_inside", inside).join(_carried(ranged, F.max(value), F.max), "_range", "left")
+    return joined.withColumn(out, F.greatest("_inside", "_sofar")).drop("_range", "_inside", "_sofar")
 
 
-def ordered_expiry(df: DataFrame, keys: list[str], expiry: str, seq: str, period: int, span: int, groups: int = 256) -> DataFrame:
-    """disposition under a point of expiry that follows the largest expiry value seen.
+def positions(df: DataFrame, seq: str, out: str, groups: int = 256) -> DataFrame:
+    """Place of each row in the order of seq, from 1, in ranges as prefix_max."""
+    ranged = _in_ranges(df, seq, groups)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(seq))
+    joined = ranged.withColumn("_inside", inside).join(_carried(ranged, F.count("*"), F.sum), "_range", "left")
+    return joined.withColumn(out, F.col("_inside") + F.coalesce("_sofar", F.lit(0))).drop("_range", "_inside", "_sofar")
 
-    The point is the largest value so far less the period, plus 1; a row below it
-    is expired. Others are duplicates if their keys came before in the same span
-    of values. Rows without an expiry value are errors. expiry is whole numbers.
-    """
+
+def ordered_output(df: DataFrame, seq: str, disposition: str = "unique") -> DataFrame:
+    """Rows of one disposition in the order they arrived, with their place in the output."""
+    return positions(df.where(F.col("disposition") == disposition), seq, "place").orderBy("place")
+
+
+# How rows are marked: _live is live, expired or error. ``end`` is what was seen before the first row.
+
+
+def mark_ordered(df: DataFrame, expiry: str, seq: str, period: int, end: int | None = None, groups: int = 256) -> DataFrame:
+    """The point of expiry is the largest value so far less the period, plus 1."""
     marked = prefix_max(df, expiry, seq, "_seen", groups)
-    expired = F.col(expiry) < F.coalesce(F.col("_seen") - period + 1, F.lit(-(1 << 62)))
-    marked = marked.withColumn("_live", F.when(F.col(expiry).isNull(), "error").when(expired, "expired").otherwise("live"))
-    w = Window.partitionBy("_live", *keys, F.floor(F.col(expiry) / span)).orderBy(seq)
-    found = F.when(F.col("_live") != "live", F.col("_live")).when(F.row_number().over(w) == 1, "unique").otherwise("duplicate")
-    return marked.withColumn("disposition", found).drop("_seen", "_live")
+    seen = F.col("_seen") if end is None else F.greatest("_seen", F.lit(end))
+    expired = F.col(expiry) < F.coalesce(seen - period + 1, F.lit(-(1 << 62)))
+    return marked.withColumn("_live", F.when(F.col(expiry).isNull(), "error").when(expired, "expired").otherwise("live")).drop("_seen")
 
 
-def time_expiry(df: DataFrame, keys: list[str], millis: str, seq: str, period_s: int = 86_400, span_s: int = 60, now_ms: int | None = None, groups: int = 256) -> DataFrame:
-    """ordered_expiry on seconds; with now_ms the point of expiry stands at the clock."""
-    rows = df.withColumn("_sec", F.floor(F.col(millis) / 1000))
-    if now_ms is None:
-        return ordered_expiry(rows, keys, "_sec", seq, period_s, span_s, groups).drop("_sec")
-    live = F.when(F.col("_sec").isNull(), "error").when(F.col("_sec") < now_ms // 1000 - period_s + 1, "expired").otherwise("live")
-    rows = rows.withColumn("_live", live)
-    w = Window.partitionBy("_live", *keys, F.floor(F.col("_sec") / span_s)).orderBy(seq)
-    found = F.when(F.col("_live") != "live", F.col("_live")).when(F.row_number().over(w) == 1, "unique").otherwise("duplicate")
-    return rows.withColumn("disposition", found).drop("_sec", "_live")
+def mark_clock(df: DataFrame, expiry: str, now: int, period: int) -> DataFrame:
+    """The point of expiry stands at the clock."""
+    return df.withColumn("_live", F.when(F.col(expiry).isNull(), "error").when(F.col(expiry) < now - period + 1, "expired").otherwise("live"))
 
 
-def jump_expiry(df: DataFrame, keys: list[str], expiry: str, seq: str, period: int, span: int, max_jump: int) -> DataFrame:
-    """ordered_expiry where a value that leads the largest one by more than max_jump
-    is an error and moves nothing. Each decision depends on the one before, so the
-    expiry values are read in order by one task, in batches; the rest is as above.
-    """
-    schema = T.StructType([df.schema[seq], T.StructField("_live", T.StringType())])
+def mark_jump(df: DataFrame, expiry: str, seq: str, period: int, max_jump: int, end: int | None = None) -> DataFrame:
+    """mark_ordered, where a value that leads the largest one by more than max_jump is an
+    error and moves nothing. Each decision depends on the one before, so one task
+    reads the expiry values in order, in batches, and nothing else."""
+    schema = T.StructType([T.StructField("_at", df.schema[seq].dataType), T.StructField("_live", T.StringType())])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = None
+        last = end
         for pdf in batches:
             out = []
-            for value in pdf[expiry].tolist():
-                if value is None or value != value:
+            for known, value in zip(pdf["_known"].tolist(), pdf["_value"].tolist(), strict=True):
+                if not known:
                     out.append("error")
-                elif end is not None and value < end - period + 1:
+                elif last is not None and value < last - period + 1:
                     out.append("expired")
-                elif end is not None and end - period + 1 > 0 and value - end > max_jump:
+                elif last is not None and last - period + 1 > 0 and value - last > max_jump:
                     out.append("error")
                 else:
-                    end = value if end is None else max(end, value)
+                    last = value if last is None else max(last, value)
                     out.append("live")
-            yield pd.DataFrame({seq: pdf[seq], "_live": out})
+            yield pd.DataFrame({"_at": pdf["_at"], "_live": out})
+
+    # nulls as a column of their own: whole numbers stay whole in pandas
+    narrow = df.select(F.col(seq).alias("_at"), F.col(expiry).isNotNull().alias("_known"), F.coalesce(F.col(expiry).cast("long"), F.lit(0)).alias("_value"))
+    walked = narrow.repartition(1).sortWithinPartitions("_at").mapInPandas(walk, schema)
+    return df.join(walked, df[seq] == walked["_at"]).drop("_at")
 
-    walked = df.select(seq, F.col(expiry)).repartition(1).sortWithinPartitions(seq).mapInPandas(walk, schema)
-    rows = df.join(walked, seq)
-    w = Window.partitionBy("_live", *keys, F.floor(F.col(expiry) / span)).orderBy(seq)
+
+def first_seen(df: DataFrame, category: str, seq: str, known: DataFrame | None = None) -> DataFrame:
+    """category, _nth: categories numbered by first appearance, after the known ones. One row per category."""
+    firsts = df.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("_cat")).agg(F.min(seq).alias("_first"))
+    if known is None:
+        return firsts.select("_cat", F.row_number().over(Window.orderBy("_first")).cast("long").alias("_nth"))
+    fresh = firsts.join(known, "_cat", "left_anti").withColumn("_n", F.row_number().over(Window.orderBy("_first")))
+    base = known.agg(F.coalesce(F.max("_nth"), F.lit(0)).alias("_base"))
+    return known.select("_cat", "_nth").unionByName(fresh.join(F.broadcast(base)).select("_cat", (F.col("_n") + F.col("_base")).cast("long").alias("_nth")))
+
+
+def mark_categorical(df: DataFrame, category: str, seq: str, live: int, numbers: DataFrame, newest: int | None = None, groups: int = 256) -> DataFrame:
+    """A row is expired if ``live`` newer categories came before it. numbers: first_seen()."""
+    marked = prefix_max(df.join(numbers, df[category] == numbers["_cat"], "left").drop("_cat"), "_nth", seq, "_seen", groups)
+    top = F.greatest("_nth", F.coalesce("_seen", F.lit(0)), F.lit(newest or 0))
+    state = F.when(F.col("_nth").isNull(), "error").when(F.col("_nth") < top - live + 1, "expired").otherwise("live")
+    return marked.withColumn("_live", state).drop("_seen")
+
+
+def _decided(marked: DataFrame, group: list, seq: str) -> DataFrame:
+    w = Window.partitionBy("_live", *group).orderBy(seq)
     found = F.when(F.col("_live") != "live", F.col("_live")).when(F.row_number().over(w) == 1, "unique").otherwise("duplicate")
-    return rows.withColumn("disposition", found).drop("_live")
+    return marked.withColumn("disposition", found).drop("_live")
+
+
+def spans_of(expiry: str, span: int, bucket: Callable[[Column], Column] | None = None) -> Column:
+    """Bucket of an expiry value: its span, or what a rule of one's own gives."""
+    return bucket(F.col(expiry)) if bucket else F.floor(F.col(expiry) / span)
+
+
+def ordered_expiry(df: DataFrame, keys: list[str], expiry: str, seq: str, period: int, span: int, groups: int = 256, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """disposition under a point of expiry that follows the largest expiry value seen.
+
+    A row below the point is expired. Others are duplicates if their keys came before
+    in the same bucket of values. Rows without an expiry value are errors. expiry is
+    whole numbers.
+    """
+    return _decided(mark_ordered(df, expiry, seq, period, None, groups), [*keys, spans_of(expiry, span, bucket)], seq)
+
+
+def time_expiry(df: DataFrame, keys: list[str], millis: str, seq: str, period_s: int = 86_400, span_s: int = 60, now_ms: int | None = None, groups: int = 256) -> DataFrame:
+    """ordered_expiry on seconds; with now_ms the point of expiry stands at the clock."""
+    rows = df.withColumn("_sec", F.floor(F.col(millis) / 1000))
+    if now_ms is None:
+        return ordered_expiry(rows, keys, "_sec", seq, period_s, span_s, groups).drop("_sec")
+    return _decided(mark_clock(rows, "_sec", now_ms // 1000, period_s), [*keys, spans_of("_sec", span_s)], seq).drop("_sec")
+
+
+def jump_expiry(df: DataFrame, keys: list[str], expiry: str, seq: str, period: int, span: int, max_jump: int) -> DataFrame:
+    """ordered_expiry with mark_jump()."""
+    return _decided(mark_jump(df, expiry, seq, period, max_jump), [*keys, spans_of(expiry, span)], seq)
 
 
 def categorical_expiry(df: DataFrame, keys: list[str], category: str, seq: str, live: int, groups: int = 256) -> DataFrame:
@@ -104,16 +170,20 @@ def categorical_expiry(df: DataFrame, keys: list[str], category: str, seq: str,
     A row is expired if as many newer categories came before it; rows without a
     category are errors. The categories' first rows are numbered in one small table.
     """
-    firsts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.min(seq).alias("_first"))
-    firsts = firsts.withColumn("_nth", F.row_number().over(Window.orderBy("_first")))
-    numbered = df.join(firsts, category, "left")
-    marked = prefix_max(numbered, "_nth", seq, "_seen", groups)
-    newest = F.greatest("_nth", F.coalesce("_seen", F.lit(0)))
-    state = F.when(F.col("_nth").isNull(), "error").when(F.col("_nth") < newest - live + 1, "expired").otherwise("live")
-    marked = marked.withColumn("_live", state)
-    w = Window.partitionBy("_live", *keys).orderBy(seq)
-    found = F.when(F.col("_live") != "live", F.col("_live")).when(F.row_number().over(w) == 1, "unique").otherwise("duplicate")
-    return marked.withColumn("disposition", found).drop("_live", "_seen", "_first", "_nth").select(*df.columns, "disposition")
+    marked = mark_categorical(df, category, seq, live, first_seen(df, category, seq), None, groups)
+    return _decided(marked, keys, seq).select(*df.columns, "disposition")
+
+
+def by_key_filtered(df: DataFrame, seen: DataFrame, keys: list[str], seq: str, shape: BloomShape) -> DataFrame:
+    """by_key() after what was seen before: only rows that pass the filter of the seen
+    keys are joined with them; the others are known to be new."""
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    held = seen.select(name.alias("_key")).distinct()
+    w = Window.partitionBy("_key").orderBy(seq)
+    rows = probe(df.withColumn("_key", name).withColumn("_r", F.row_number().over(w)), "_key", build(held, "_key", shape), shape)
+    hits = rows.where("might_contain").join(held.withColumn("_old", F.lit(True)), "_key", "left")
+    every = hits.unionByName(rows.where("not might_contain").withColumn("_old", F.lit(None).cast("boolean")))
+    return every.withColumn("disposition", F.when(F.col("_old") | (F.col("_r") > 1), "duplicate").otherwise("unique")).drop("_key", "_r", "_old", "might_contain")
 
 
 def counters(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +29,35 @@ def one_per_key(lookup: DataFrame, keys: list[str], order: str | Column, last: b
     return lookup.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def small_enough(df: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> bool:
+    """Whether df has at most so many rows and bytes; reads one row more than that."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.length(F.to_json(F.struct(f.name))) if "<" in f.dataType.simpleString() else F.lit(8) for f in df.schema]
+    got = df.limit(most_rows + 1).agg(F.count("*").alias("n"), F.sum(reduce(Column.__add__, sizes, F.lit(0))).alias("b")).first()
+    return got["n"] <= most_rows and (got["b"] or 0) <= most_bytes
+
+
 def _joined(df: DataFrame, lookup: DataFrame, on: dict[str, str], fields: list[str], most_broadcast: int) -> DataFrame:
-    """df with __hit and __<field> columns. The lookup is sent to all executors only
-    if it has at most most_broadcast rows; beyond that both sides are shuffled."""
+    """df with __hit and __<field> columns. The lookup is sent to all executors only if
+    it has at most most_broadcast rows and 64 MB; beyond that both sides are shuffled."""
     side = lookup.select(*[F.col(db).alias(f"__k{i}") for i, db in enumerate(on.values())], *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__hit"))
-    if side.limit(most_broadcast + 1).count() <= most_broadcast:
+    if small_enough(side, most_broadcast):
         side = F.broadcast(side)
     return df.join(side, [df[k] == side[f"__k{i}"] for i, k in enumerate(on)], "left")
 
 
+def refreshing(load: Callable[[], DataFrame], enrich: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], need_refresh: Callable[[int], bool] = lambda epoch: True) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch is joined with the lookup as load() gives it
+    then, or with the one before where need_refresh(epoch) is false. Lookups are read only."""
+    held: list[DataFrame] = []
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        if not held or need_refresh(epoch):
+            held[:] = [load()]
+        sink(enrich(batch, held[0]), epoch)
+
+    return step
+
+
 def enrich_map(df: DataFrame, lookup: DataFrame, on: dict[str, str], include: list[str] | None = None, most_broadcast: int = 100_000) -> DataFrame:
     """Matched rows take the included fields, over their own of the same name too;
     other rows stay as they are, with null in new fields. on: field of df -> field of lookup."""

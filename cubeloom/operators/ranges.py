@@ -29,29 +29,43 @@ def merge_ranges(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
     return island.groupBy(*(by or []), "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def overlapping(ranges: DataFrame, probes: DataFrame, by: list[str] | None = None, cell: int = 1024) -> DataFrame:
+def _cut(df: DataFrame, start: str, end: str) -> DataFrame:
+    """df with the cells, of width 2^_lv, that hold its ends; at most two where the range is no longer than that."""
+    cells = F.array_distinct(F.array(F.expr(f"shiftright({start}, _lv)"), F.expr(f"shiftright({end}, _lv)")))
+    return df.withColumn("_cell", F.explode(cells))
+
+
+def overlapping(ranges: DataFrame, probes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ranges' columns and probes' columns of each pair that shares a point.
 
-    Both sides are cut by cells of a fixed width and joined on the cell; a pair is
-    kept in the first cell both have, so none comes twice. Probes have columns
+    A range's level is the least power of two longer than it, so it touches at most
+    two cells of that width. Each pair meets in the cells of the longer one's level:
+    a side is cut at its own level, and the other at every level that side has from
+    its own on, at most 64. So a row is copied a few times whatever its length. A pair
+    is kept in the first cell both have, so none comes twice. Ends are whole numbers;
+    rows with a null end or an end before the start meet nothing. Probes have columns
     probe_start, probe_end.
     """
     by = by or []
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    left = ranges.where("start <= end").withColumn("_cell", cells("start", "end"))
-    right = probes.where("probe_start <= probe_end").withColumn("_cell", cells("probe_start", "probe_end"))
-    first = F.floor(F.greatest("start", "probe_start") / cell)
-    return left.join(right, [*by, "_cell"]).where("start <= probe_end and end >= probe_start").where(F.col("_cell") == first).drop("_cell")
+    level = lambda a, b: F.floor(F.log2(F.col(b).cast("double") - F.col(a).cast("double") + 1)).cast("int") + 1
+    whole = lambda df, a, b: df.withColumns({a: F.col(a).cast("long"), b: F.col(b).cast("long")}).where(F.col(a) <= F.col(b)).withColumn("_own", F.least(level(a, b), F.lit(62)))
+    left, right = whole(ranges, "start", "end"), whole(probes, "probe_start", "probe_end")
+    levels = lambda df: F.broadcast(df.select(F.col("_own").alias("_lv")).distinct())  # noqa: E731  at most 62 rows
+    own = lambda df: df.withColumn("_lv", F.col("_own")).drop("_own")
+    wider = _cut(own(left), "start", "end").join(_cut(right.join(levels(left), F.col("_lv") >= F.col("_own")).drop("_own"), "probe_start", "probe_end"), [*by, "_lv", "_cell"])
+    narrower = _cut(left.join(levels(right), F.col("_lv") > F.col("_own")).drop("_own"), "start", "end").join(_cut(own(right), "probe_start", "probe_end"), [*by, "_lv", "_cell"])
+    first = F.expr("shiftright(greatest(start, probe_start), _lv)")
+    return wider.unionByName(narrower).where("start <= probe_end and end >= probe_start").where(F.col("_cell") == first).drop("_lv", "_cell")
 
 
-def contains(ranges: DataFrame, points: DataFrame, point: str, by: list[str] | None = None, cell: int = 1024) -> DataFrame:
+def contains(ranges: DataFrame, points: DataFrame, point: str, by: list[str] | None = None) -> DataFrame:
     """Rows of points that lie in a range."""
-    return overlapping(ranges, points.withColumn("probe_start", F.col(point)).withColumn("probe_end", F.col(point)), by, cell).select(points.columns).distinct()
+    return overlapping(ranges, points.withColumn("probe_start", F.col(point)).withColumn("probe_end", F.col(point)), by).select(points.columns).distinct()
 
 
-def contained_ranges(ranges: DataFrame, probes: DataFrame, by: list[str] | None = None, cell: int = 1024) -> DataFrame:
+def contained_ranges(ranges: DataFrame, probes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """overlapping() pairs whose probe lies in the range entirely."""
-    return overlapping(ranges, probes, by, cell).where("start <= probe_start and end >= probe_end")
+    return overlapping(ranges, probes, by).where("start <= probe_start and end >= probe_end")
 
 
 def extent(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:

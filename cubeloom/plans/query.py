@@ -144,7 +144,7 @@ def execute(cube: DataFrame, spec: CubeSpec, query: DataQuery, newest: int | Non
     """Rows that answer a query: time, keys, and a column per value and aggregator.
 
     newest: time that the latest buckets count back from; by default the newest
-    time of the cube. valid: table of valid key combinations, semi-joined.
+    time of the group asked for. valid: table of valid key combinations, semi-joined.
     Sliding aggregates roll each key's buckets; a row needs all buckets of its frame.
     """
     at = spec.find(set(query.keys), query.bucket)
@@ -161,7 +161,7 @@ def execute(cube: DataFrame, spec: CubeSpec, query: DataQuery, newest: int | Non
     bounds = None
     if size is not None:
         if query.start is None and newest is None:
-            newest = cube.agg(F.max("time")).first()[0]
+            newest = cube.where(F.col("dd_id") == at.dd_id).agg(F.max("time")).first()[0]  # every group has every event
             if newest is None:
                 newest = 0
         bounds = time_range(query, newest)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.functions import bloom, delimited
 from cubeloom.functions.timebucket import epoch_millis
-from cubeloom.operators import cube, dedup, enrich, kvstore, lateness, ranges, results
+from cubeloom.operators import cube, dedup, enrich, kvstore, lateness, partitioning, ranges, results
 from cubeloom.plans import query as q
 from cubeloom.plans.spec import CubeSpec
-from cubeloom.sources.events import convert
+from cubeloom.sources import lookup as lookups
+from cubeloom.sources.events import Log, convert, rate_windows
 from cubeloom.streaming import cube as stream_cube
 from cubeloom.streaming import dedup as stream_dedup
 
@@ -254,7 +256,7 @@ def query_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = event_cube(spark, sf_dir, QSPEC)
     days = base.where(F.col("dd_id") == QSPEC.find(set(), "1d").dd_id).select("time")
     kinds = cube.seen_keys(read(spark, sf_dir, "events"), ["event_type"]).select(F.col("value").alias("event_type"))
-    grid = days.join(F.broadcast(kinds), how="cross")  # as many rows as seen values, a key's domain
+    grid = cube.every_pair(days, kinds)
     rows = base.where(F.col("dd_id") == QSPEC.find({"event_type"}, "1d").dd_id).select("time", "event_type", "value_count")
     return grid.join(rows, ["time", "event_type"], "left").select("event_type", "time", F.coalesce("value_count", F.lit(0)).alias("value_count"))
 
@@ -393,18 +395,45 @@ def dedup_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.categorical_expiry(rows, ["user_id"], "day", "seq", 2).select("event_id", "disposition")
 
 
-@query()
+def jump_sql(rows: str) -> str:
+    """jump_expiry of the hour (48, 6, 3), row after row."""
+    return f"""with recursive o as materialized (select row_number() over (order by seq) as r, event_id, user_id, event_type, seq, hour from {rows}),
+    w(r, live, e) as (select r, 'live', hour from o where r = 1 union all
+        select o.r, case when o.hour < w.e - 47 then 'expired' when w.e - 47 > 0 and o.hour - w.e > 3 then 'error' else 'live' end,
+            case when o.hour < w.e - 47 or (w.e - 47 > 0 and o.hour - w.e > 3) then w.e else greatest(w.e, o.hour) end from w join o on o.r = w.r + 1)
+    select event_id, case when live <> 'live' then live when row_number() over (partition by live, user_id, event_type, hour // 6 order by seq) = 1 then 'unique' else 'duplicate' end as disposition from o join w using (r)"""
+
+
+@query(jump_sql(_SH))
 def dedup_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each decision depends on the one before: a test holds it against a loop."""
     return dedup.jump_expiry(shuffled(spark, sf_dir), ["user_id", "event_type"], "hour", "seq", 48, 6, 3).select("event_id", "disposition")
 
 
-@query(f"select event_id, case when r = 1 then 'unique' else 'duplicate' end as disposition, true as might_contain from (select event_id, row_number() over (partition by user_id, event_type order by seq) as r from {_SH}) a")
+@query(f"select event_id, case when r > 1 or exists (select 1 from events h where h.event_id % 10 < 3 and h.user_id = a.user_id and h.event_type = a.event_type and h.event_id // 50 = a.event_id // 50) then 'duplicate' else 'unique' end as disposition from (select event_id, user_id, event_type, row_number() over (partition by user_id, event_type, event_id // 50 order by seq) as r from {_SH} where event_id % 10 >= 3) a")
 def dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact dedup; every row passes the filter that its own keys built."""
-    rows = dedup.by_key(shuffled(spark, sf_dir), ["user_id", "event_type"], "seq").withColumn("key", F.concat_ws("|", "user_id", "event_type"))
-    shape = bloom.BloomShape(10_000, 0.01)
-    return bloom.probe(rows, "key", bloom.build(rows, "key", shape), shape).select("event_id", "disposition", "might_contain")
+    """Rows against keys seen before: those the filter does not know are never joined."""
+    rows = shuffled(spark, sf_dir).withColumn("part", F.floor(F.col("event_id") / 50))
+    seen, new = rows.where(F.col("event_id") % 10 < 3), rows.where(F.col("event_id") % 10 >= 3)
+    return dedup.by_key_filtered(new, seen, ["user_id", "event_type", "part"], "seq", bloom.BloomShape(100_000, 0.01)).select("event_id", "disposition")
+
+
+@query("select count(*) as built, 0 as missed, true as rate_held from events where event_id % 2 = 0")
+def bloom_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the event ids are built in: none is missed, and at most 2% of as many others pass (0.01 by design)."""
+    ids = read(spark, sf_dir, "events").select("event_id")
+    inside = F.col("event_id") % 2 == 0
+    shape = bloom.BloomShape(max(100, ids.where(inside).count()), 0.01)
+    found = bloom.probe(ids, "event_id", bloom.build(ids.where(inside), "event_id", shape), shape)
+    share = F.avg(F.when(~inside, F.col("might_contain").cast("int")))
+    return found.agg(F.sum(inside.cast("int")).alias("built"), F.sum((inside & ~F.col("might_contain")).cast("int")).alias("missed"), (share <= 0.02).alias("rate_held"))
+
+
+@query(f"select event_id, row_number() over (order by seq) as place from {_SH} join ({expiry_sql('hour', 48, 6)}) d using (event_id) where disposition = 'unique'")
+def dedup_ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique rows in the order of arrival, with their place."""
+    rows = shuffled(spark, sf_dir)
+    found = dedup.ordered_expiry(rows, ["user_id", "event_type"], "hour", "seq", 48, 6)
+    return dedup.ordered_output(found, "seq").select("event_id", "place")
 
 
 _EXP = expiry_sql("hour", 48, 6)
@@ -454,6 +483,53 @@ def kv_purge_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kvstore.compact(oplog(spark, sf_dir))
 
 
+_WIDE = f"(select seq, bucket, op, key * 1000000007 as key, case when op = 'PURGE' then key * 1000000007 + 10000000000000 end as end_key, value from {_LOG}) l"
+
+
+@query(f"select bucket, key, value, seq from (select *, row_number() over (partition by bucket, key order by seq desc) as r from {_WIDE} where op <> 'PURGE') v where r = 1 and op = 'PUT' and not exists (select 1 from {_WIDE} where l.op = 'PURGE' and l.bucket = v.bucket and l.seq > v.seq and v.key between l.key and l.end_key)")
+def kv_purge_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys a thousand million apart, purged in ranges of 10^13."""
+    log = oplog(spark, sf_dir)
+    wide = F.col("key") * 1_000_000_007
+    return kvstore.compact(log.withColumn("end_key", F.when(F.col("op") == "PURGE", wide + 10_000_000_000_000)).withColumn("key", wide))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "store")
+    kvstore.write_store(kvstore.last_writes(oplog(spark, sf_dir)), path)
+    return path
+
+
+@query(f"select key, value from {_LIVE} v where bucket = 3 and key in (3, 7, 8, 11, 1999, 5000)")
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kvstore.get(spark, _stored(spark, sf_dir), 3, 3, 7, 8, 11, 1999, 5000)
+
+
+@query(f"select key, value from {_LIVE} v where bucket = 2 and key between 100 and 900")
+def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kvstore.scan(spark, _stored(spark, sf_dir), 2, 100, 900)
+
+
+@query(f"select c_custkey as key, c_custkey % 4 as bucket, value from customer left join {_LIVE} v on v.key = c_custkey and v.bucket = c_custkey % 4")
+def kv_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.pmod("c_custkey", F.lit(4)).alias("bucket"))
+    return kvstore.look_up(wanted, spark.read.parquet(_stored(spark, sf_dir)))
+
+
+@query("select c_custkey, row_number() over (order by encode(c_name)) as place from customer")
+def kv_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte keys in unsigned order, as a store's files hold them."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.encode("c_name", "UTF-8").alias("key"))
+    ordered = lookups.row_range(rows, "key")
+    return dedup.positions(ordered.withColumn("n", F.regexp_extract(F.col("key").cast("string"), "([0-9]+)", 1).cast("long")), "n", "place").select("c_custkey", "place")
+
+
+@query(f"select window_id, parent, seq, row_number() over (partition by window_id order by parent, seq) as place from (select window_id, bucket % 2 as parent, seq from {_LOG}) x")
+def kv_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = oplog(spark, sf_dir)
+    return kvstore.merge_logs(log.where("bucket % 2 = 0"), log.where("bucket % 2 = 1")).select("window_id", F.col("parent").cast("long").alias("parent"), "seq", "place")
+
+
 @query(f"select bucket, key, op, seq from {_LOG} where window_id > bucket + 2")
 def replay_committed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spark.range(4).select(F.col("id").alias("bucket"), (F.col("id") + 2).alias("window_id"))
@@ -564,7 +640,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        local = spark.sparkContext.master.startswith("local")
+        master = spark.sparkContext.master  # local-cluster has executors of its own
+        local = master == "local" or master.startswith("local[")
         root = tempfile.mkdtemp(prefix="cubeloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -585,14 +662,71 @@ def streaming_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.cube().select("time_bucket", "time", "event_type", "value_sum", "value_count")
 
 
-@query(ORACLE_SQL["dedup_ordered"].replace(_SH, f"(select *, event_id as seq, t // {HOUR} as hour from {EV}) s"))
-def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered expiry of the events read as a stream, with state."""
+@query(ORACLE_SQL["cube_sum_hourly"])
+def streaming_cube_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store with a folder per group, compacted, read one group at a time."""
+    at = _folder(spark, "cube")
+    store = stream_cube.CubeStore(spark, f"{at}/parts", HOURLY, by_group=True, time="t", order="event_id")
+    stream_cube.start(event_stream(spark, sf_dir), store, f"{at}/checkpoint", available_now=True).awaitTermination()
+    store.compact()
+    groups = [d.dd_id for d in HOURLY.descriptors()]
+    rows = reduce(DataFrame.unionByName, [store.cube().where(F.col("dd_id") == g) for g in groups])
+    return rows.select("time_bucket", "time", "event_type", "value_sum", "value_count")
+
+
+@query(ORACLE_SQL["cube_sum_hourly"])
+def streaming_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the epochs changed, the last change of each row: all of the cube in the end."""
+    at = _folder(spark, "cube")
+    store = stream_cube.CubeStore(spark, f"{at}/parts", HOURLY, time="t", order="event_id")
+    store.on_update = lambda rows, epoch: rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{at}/updates/{epoch}")
+    stream_cube.start(event_stream(spark, sf_dir), store, f"{at}/checkpoint", available_now=True).awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/updates")
+    return enrich.one_per_key(found, ["dd_id", "time_bucket", "time", "event_type"], "epoch").select("time_bucket", "time", "event_type", "value_sum", "value_count")
+
+
+@query("select event_id, case when c_custkey is null then 'none' else c_mktsegment end as segment from events left join customer on user_id = c_custkey")
+def streaming_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch meets the lookup as it stands then."""
+    at = _folder(spark, "enrich")
+    load = lambda: read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    add = lambda rows, found: enrich.enrich_map(rows, found, {"user_id": "c_custkey"}, ["segment"])
+    step = enrich.refreshing(load, add, lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{at}/out/{epoch}"))
+    event_stream(spark, sf_dir).select("event_id", "user_id").writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out").select("event_id", F.coalesce("segment", F.lit("none")).alias("segment"))
+
+
+_IN_ORDER = f"(select *, event_id as seq, t // {HOUR} as hour from {EV}) s"
+
+
+def deduplicated(spark: SparkSession, sf_dir: str, keys: list[str], rule: stream_dedup.Rule) -> DataFrame:
+    """Dispositions of the events read as a stream, with state between micro-batches."""
     at = _folder(spark, "dedup")
-    rows = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", F.col("event_id").alias("seq"), F.floor(F.col("t") / HOUR).alias("hour"))
-    out = stream_dedup.ordered_expiry(rows, [], ["user_id", "event_type"], "hour", "seq", 48, 6)
-    out.select("event_id", "disposition").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id long, disposition string").parquet(f"{at}/out")
+    rows = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", F.col("event_id").alias("seq"), F.floor(F.col("t") / HOUR).alias("hour"), F.floor(F.col("t") / 1000).alias("second"), F.floor(F.col("t") / DAY).cast("string").alias("day"))
+    sink = lambda out, epoch: out.select("event_id", "disposition").write.mode("overwrite").parquet(f"{at}/out/{epoch}")
+    store = stream_dedup.DedupStore(spark, f"{at}/state", keys, "seq", rule, sink)
+    rows.writeStream.foreachBatch(store.apply).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, disposition string").option("recursiveFileLookup", "true").parquet(f"{at}/out")
+
+
+@query(ORACLE_SQL["dedup_ordered"].replace(_SH, _IN_ORDER))
+def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(spark, sf_dir, ["user_id", "event_type"], stream_dedup.Rule("ordered", "hour", 48, 6))
+
+
+@query(ORACLE_SQL["dedup_system_time"].replace(_SH, _IN_ORDER))
+def streaming_dedup_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(spark, sf_dir, ["user_id", "event_type"], stream_dedup.Rule("clock", "second", 864_000, 3600, clock=lambda: NOW // 1000))
+
+
+@query(jump_sql(_IN_ORDER))
+def streaming_dedup_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(spark, sf_dir, ["user_id", "event_type"], stream_dedup.Rule("jump", "hour", 48, 6, max_jump=3))
+
+
+@query(ORACLE_SQL["dedup_categorical"].replace(_SH, _IN_ORDER))
+def streaming_dedup_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(spark, sf_dir, ["user_id"], stream_dedup.Rule("categorical", "day", live=2))
 
 
 @query(ORACLE_SQL["lateness_split"])
@@ -601,3 +735,41 @@ def streaming_lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_dedup.lateness(event_stream(spark, sf_dir).select("event_id", "t"), "t", REF, laggards=240 * HOUR).select("event_id", "lateness")
     rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, lateness string").parquet(f"{at}/out")
+
+
+# ---- sources and partitions ----------------------------------------------------------
+
+
+@query("select event_id, (row_number() over (order by event_id) - 1) // 4 // 25 as window_id from events")
+def source_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a source of four partitions that takes 100 events a second."""
+    return rate_windows(read(spark, sf_dir, "events").select("event_id"), "event_id", 100, 1000, 4)
+
+
+@query("select user_id, event_type from events where event_id % 3 = 2 or (event_id % 3 = 1 and event_id >= 1501)")
+def log_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of three flushes, cleaned up to the second, read from an address in it."""
+    log = Log(spark, _folder(spark, "log"), "event_id long, user_id long, event_type string")
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for part in range(3):
+        log.store(rows.where(F.col("event_id") % 3 == part), "event_id")
+    log.clean(1)
+    return log.retrieve(1, 500).select("user_id", "event_type")
+
+
+_LAT = "select user_id % 5 as partition, event_id as window_id, value as latency from events"
+_AVG = f"select *, avg(latency) over w as average, count(latency) over w as n from ({_LAT}) l window w as (partition by partition order by window_id rows between 9 preceding and current row)"
+
+
+@query(f"select partition, window_id, round(average, 6) as average, case when n = 10 and average > 30 then 'split' when n = 10 and average < 15 then 'merge' else 'keep' end as decision from ({_AVG}) a")
+def partition_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(5)).alias("partition"), F.col("event_id").alias("window_id"), F.col("value").alias("latency"))
+    return partitioning.decisions(rows, 15, 30).select("partition", "window_id", F.round("average", 6).alias("average"), "decision")
+
+
+@query("select c_custkey, c_name from customer where c_name between 'Customer#000000100' and 'Customer#000000900'")
+def lookup_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table of byte columns, from one row key to another."""
+    table = read(spark, sf_dir, "customer").select("c_custkey", F.encode("c_name", "UTF-8").alias("row"), F.create_map(F.lit("name"), F.encode("c_name", "UTF-8")).alias("personal"))
+    keyed = lookups.keyed_bytes(lookups.row_range(table, "row", b"Customer#000000100", b"Customer#000000900"), "row", {"name": ("personal", "name")})
+    return keyed.select(F.regexp_extract(F.col("row").cast("string"), "0*([0-9]+)$", 1).cast("long").alias("c_custkey"), F.col("name").cast("string").alias("c_name"))

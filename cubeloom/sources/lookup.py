@@ -35,3 +35,13 @@ def keyed_bytes(df: DataFrame, row_key: str, columns: dict[str, tuple[str, str]]
     """Rows by key with (family, qualifier) columns as bytes. df: a row key column and
     a map column per family, qualifier -> bytes."""
     return df.select(F.col(row_key), *[F.try_element_at(F.col(family), F.lit(qualifier)).cast("binary").alias(out) for out, (family, qualifier) in columns.items()])
+
+
+def row_range(df: DataFrame, row_key: str, first=None, last=None) -> DataFrame:
+    """Rows of a keyed table from first to last, both inside, in key order; bytes order as unsigned numbers."""
+    inside = F.lit(True)
+    if first is not None:
+        inside &= F.col(row_key) >= F.lit(first)
+    if last is not None:
+        inside &= F.col(row_key) <= F.lit(last)
+    return df.where(inside).orderBy(row_key)

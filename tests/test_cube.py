@@ -8,6 +8,7 @@ from cubeloom.plans import query as q
 from cubeloom.plans.spec import Composite, CubeSpec, TimeBucket
 
 KEYS = [{"name": k, "type": "string"} for k in ("publisher", "advertiser", "location")]
+# Three advertising events whose cubes have known sizes and sums.
 ROWS = [
     ("google", "starbucks", "SKY", 5.5, 10.0, 1000, 100, 300),
     ("google", "safeway", "N", 3.5, 5.0, 100, 150, 300),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.functions import bloom, delimited
-from cubeloom.operators import dedup, enrich, kvstore, lateness, ranges, results
+from cubeloom.operators import cube, dedup, enrich, kvstore, lateness, ranges, results
 from cubeloom.sources import events as sources
 from cubeloom.sources.lookup import json_lines, keyed_bytes
 
@@ -17,6 +17,7 @@ def counts(df):
     return {r["disposition"]: r["n"] for r in dedup.counters(df).collect()}
 
 
+# Twenty values ten apart, ten of them again, ten behind the point of expiry.
 ORDERED = [*range(1000, 1200, 10), *range(1050, 1150, 10), *range(50, 150, 10)]
 
 
@@ -112,11 +113,10 @@ def test_range_merge(spark, added, want):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("cell", [3, 1024])
 @pytest.mark.parametrize("probe,want", [((0, 3), [(1, 5)]), ((0, 25), [(1, 5), (11, 20)]), ((15, 25), [(11, 20)]), ((6, 29), [(11, 20)]), ((6, 15), [(11, 20)]), ((6, 10), [])])
-def test_range_overlap(spark, probe, want, cell):
+def test_range_overlap(spark, probe, want):
     rs = spark.createDataFrame([(1, 5), (11, 20), (30, 60)], "start long, end long")
-    got = ranges.overlapping(rs, spark.createDataFrame([probe], "probe_start long, probe_end long"), cell=cell)
+    got = ranges.overlapping(rs, spark.createDataFrame([probe], "probe_start long, probe_end long"))
     assert sorted((r["start"], r["end"]) for r in got.collect()) == want
 
 
@@ -205,3 +205,58 @@ def test_jdbc_first_row_of_a_key(spark):
     assert sorted(tuple(r) for r in one.collect()) == [(2, "Allen", 25), (4, "Mark", 25)]
     with pytest.raises(ValueError):
         jdbc(spark, url)
+
+
+def test_ranges_of_any_width_meet(spark):
+    import random
+
+    draw = random.Random(3)
+    span = lambda: (lambda a, n: (a, a + n))(draw.randrange(-(1 << 40), 1 << 40), draw.choice([0, 1, 7, 1000, 1 << 20, 1 << 41]))
+    left, right = [(*span(), i) for i in range(60)] + [(5, 1, 99), (None, 3, 98), (-(1 << 60), 1 << 60, 97)], [(*span(), i) for i in range(60)]
+    got = ranges.overlapping(spark.createDataFrame(left, "start long, end long, i int"), spark.createDataFrame(right, "probe_start long, probe_end long, j int"))
+    want = sorted((i, j) for a, b, i in left for c, d, j in right if a is not None and a <= b and a <= d and b >= c)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_bloom_surface(spark):
+    shape = bloom.BloomShape(1000, 0.01)
+    one, two = (bloom.build(spark.range(a, b), "id", shape) for a, b in ((0, 300), (300, 600)))
+    both = bloom.merge(one, two)
+    assert bloom.contains_all(spark.range(600), "id", both, shape) and not bloom.contains_all(spark.range(600), "id", one, shape)
+    est = bloom.estimate(both, shape).first()
+    assert abs(est["n"] - 600) < 30 and 0 < est["rate"] < 0.01
+    nothing = bloom.empty(spark)
+    assert bloom.estimate(nothing, shape).first()["n"] == 0
+    assert bloom.probe(spark.range(5), "id", nothing, shape).where("might_contain").count() == 0
+    null = spark.createDataFrame([(None,)], "id long")
+    assert bloom.build(null, "id", shape).count() == 0 and not bloom.probe(null, "id", both, shape).first()["might_contain"]
+
+
+def test_log_addresses_and_clean(spark, tmp_path):
+    log = sources.Log(spark, str(tmp_path / "log"), "x long")
+    assert log.retrieve().count() == 0
+    for k in range(3):
+        assert log.store(spark.range(k * 10, k * 10 + 10).withColumnRenamed("id", "x"), "x") == k
+    log.store(spark.range(10, 20).withColumnRenamed("id", "x"), "x", flush=1)  # again after a failure
+    assert sorted(r["x"] for r in log.retrieve(1, 7).collect()) == [17, 18, 19, *range(20, 30)]
+    log.clean(2)
+    assert sorted(r["x"] for r in log.retrieve(2).collect()) == list(range(20, 30))
+    with pytest.raises(ValueError):
+        log.retrieve(1, 9)
+    log.clean(9)  # not beyond what was flushed
+    assert log.cleaned() == 3 and log.store(spark.range(1).withColumnRenamed("id", "x"), "x") == 3
+
+
+def test_store_reads_and_codec(spark, tmp_path):
+    state = spark.createDataFrame([(k % 2, bytes([k]), f"v{k}") for k in (1, 3, 129, 255, 7)], "bucket long, key binary, value string")
+    kvstore.write_store(state, str(tmp_path / "s"), files=2)
+    assert sorted(r["value"] for r in kvstore.scan(spark, str(tmp_path / "s"), 1, bytes([3]), bytes([200])).collect()) == ["v129", "v3", "v7"]
+    assert [r["value"] for r in kvstore.get(spark, str(tmp_path / "s"), 1, bytes([255])).collect()] == ["v255"]
+    puts = kvstore.encoded(spark.range(100).withColumn("at", F.col("id")), F.col("id"), F.col("id") * 2, 5, "at")
+    assert puts.select("bucket").distinct().count() == 8 and puts.where("op <> 'PUT' or value <> key * 2").count() == 0
+
+
+def test_large_grid_is_dealt(spark):
+    times, values = spark.range(5).withColumnRenamed("id", "time"), spark.range(40).select(F.col("id").cast("string").alias("v"))
+    got = cube.every_pair(times, values, most=10)
+    assert got.count() == 200 and got.distinct().count() == 200
