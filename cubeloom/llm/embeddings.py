@@ -106,7 +106,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
             pivots.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(r["vec"], np.float64))
         pivots = {k: np.stack(v) for k, v in pivots.items()}
     shared = sent(spark, pivots)
-    reach = 2 * np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+    reach = 2 * np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7  # distances near 0 are off by 1e-8
 
     def cells(batches):
         for pdf in batches:

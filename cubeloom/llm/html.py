@@ -66,12 +66,27 @@ NOISE_WORDS = frozenset(
     "footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments disqus "
     "respond share sharing social related recommended pagination pager toolbar alert masthead".split()
 )
+#: Words that say where a thing stands or how it is wrapped, and nothing of its purpose.
+PLACE_WORDS = frozenset(
+    "area bar block body bottom box button center col column container content fixed float global header holder inner item items layout left link links list lower main "
+    "module outer page panel primary region right row secondary section site small sticky sub top unit upper wide wrap wrapper zone".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Pages that a marked article counts as.
 MARK = 2
 HEADERS = frozenset("header site-header page-header main-header top-header global-header topbar top-bar".split())
 
 
+def names_noise(names: str) -> bool:
+    """Whether a class or id names a purpose that is no text: all of its parts do, or say
+    a place only. ``ad-box`` does; ``ad-hoc``, ``related-work`` and ``notice-board`` don't."""
+    for name in names.split():
+        parts = _TOKEN.findall(name)
+        if any(p in NOISE_WORDS for p in parts) and all(p in NOISE_WORDS or p in PLACE_WORDS for p in parts):
+            return True
+    return False
+
+
 class Page:
     """A page as arrays of nodes in document order, and its stream of texts."""
 
@@ -125,8 +140,8 @@ class Page:
                 names = " ".join(marks.get(k, "") for k in ("class", "id"))
                 sign = _DIGITS.sub("0", f"{tag} {names}")
                 if tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
-                    noise = noise or marks.get("role") in NOISE_ROLES or not NOISE_WORDS.isdisjoint(_TOKEN.findall(names)) or not HEADERS.isdisjoint(names.split())
-                elif tag == "article" and not {"comment", "comments"}.isdisjoint(_TOKEN.findall(names)):
+                    noise = noise or marks.get("role") in NOISE_ROLES or names_noise(names) or not HEADERS.isdisjoint(names.split())
+                elif tag == "article" and not {"comment", "comments"}.isdisjoint(_TOKEN.findall(names)) and names_noise(names):
                     noise = True
                 if marks.get("role") == "main":
                     tag = "main"

@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     of runs of repeated windows. docs: doc_id, text as bytes, h."""
     if not 256 + STEP <= n <= 768 - Q:
         raise ValueError("n must lie between 288 and 704")
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.coalesce(F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id"), F.lit(-(1 << 63)))
     long_enough = docs.where(F.length("text") >= n).withColumn("doc_id", number)
     filed = long_enough.select("h", "doc_id", "text").mapInPandas(_file(n), "h binary, rep long, p int, lo int, hi int, key long")
     filed = written(filed.groupBy("h", "p", "lo", "hi", "key").agg(F.count("*").alias("c"), F.min("rep").alias("rep")), "anchors")

@@ -122,3 +122,37 @@ def test_templates_over_line_feeds(spark):
     rows = [(0, MIT), (1, BSD), (2, MIT.replace("\n", "\r\n")), (3, apart), (4, "released under\n" + "other words " * 40 + "\nthe mit license"), (5, "Released under\nthe MIT license")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("mit", 1.0)}
+
+
+def test_only_whole_names_tell_a_purpose(spark):
+    def page(i):
+        return (
+            f"<body><article><h1>Head {i}</h1><div class='related-work'><p>Body text {i}</p></div><p class='ad-hoc'>An aim {i}</p>"
+            f"<blockquote class='notice-board'>Quoted {i}</blockquote><div class='ad-box'>Buy {i}</div><div class='comments list'>He said {i}</div><p class='sidebar_left'>Side {i}</p></article></body>"
+        )
+
+    for n in (1, 20):
+        assert site(spark, page, n)[0] == "Head 0\n\nBody text 0\n\nAn aim 0\n\nQuoted 0"
+
+
+def test_an_empty_tree_changes_articles(spark):
+    """The entropies decide blocks of pages that mark their articles."""
+    def page(i):
+        return f"<body><article><h1>Head {i}</h1><p>Own text {i}</p><div class='x1'><p>Donate to us now</p></div><div class='x2'><p>Follow us</p></div></article></body>"
+
+    tree = {r["path"] & 0xFFFFFFFFFFFFFFFF: (r["node_importance"], r["content_importance"], r["pages"]) for r in html.style_tree(spark.createDataFrame([(f"http://a.example/{i}", page(i)) for i in range(20)], "url string, html string")).collect()}
+    for i in range(20):
+        assert html.main_text(page(i), tree, 0.25) == f"Head {i}\n\nOwn text {i}"
+        assert html.main_text(page(i), {}, 0.25) == f"Head {i}\n\nOwn text {i}\n\nDonate to us now\n\nFollow us"
+
+
+def test_pages_with_odd_columns(spark):
+    rows = [(1, None, "<p>one</p>", 1, "x"), (1, None, "<p>one</p>", 1, "x"), (None, "http://a.example/", None, 2, "y"), (3, "nowhere", "", 3, None), (4, "http://a.example/", "<p>" + "long " * 50_000 + "</p>", 4, "z")]
+    got = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host long, text string")).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 3), ("1", 3), ("3", 0), ("4", 249_999), ("None", 0)]
+
+
+def test_licences_with_odd_columns(spark):
+    rows = [(1, "Licensed CC BY", 5, "x"), (1, "Licensed CC BY", 5, "x"), (None, None, 6, "y"), (2, "", 7, None), (3, "all rights reserved " * 20_000, 8, "z")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, score long, labels string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_base"], r["base_labels"]) for r in got) == [("1", 3, 1, "cc-by"), ("1", 3, 1, "cc-by"), ("2", 0, 0, ""), ("3", 60_000, 20_000, "reserved"), ("None", 0, 0, "")]

@@ -60,3 +60,12 @@ def test_rows_with_one_id_or_none(spark, small):
     assert texts(corpus_pipeline.drop_leaks, [(None, item), (None, say("a")), (3, item), (3, say("c"))]) == [("3", say("c")), ("None", say("a"))]
     got = texts(corpus_pipeline.drop_repeated_lines, [(3, say("a") + "\n" + say("b")), (3, say("b") + "\n" + say("c"))])
     assert sorted("\n".join(t for _, t in got).split("\n")) == [say("a"), say("b"), say("c")]
+
+
+def test_very_long_texts(spark, small):
+    long = "\n".join(f"line {i} says word{i * 7} and thing{i * 13}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "a short text of its own")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small).persist()
+    assert {r["doc_id"]: len(r["text"]) for r in docs.collect()}[1] == len(long)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).agg({"length": "max"}).first()[0] == 2048

@@ -372,3 +372,28 @@ def test_repeats_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, h binary")
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(df).collect())
     assert got == brute_repeats(rows, 400)
+
+
+# ---- odd tables
+
+
+def test_vectors_without_names_or_with_others(spark):
+    rows = [(None, [1.0, 0.0], 1, 9), (None, [1.0, 0.0], 1, 9), (3, [1.0, 0.0], 1, 9), (4, [1.0, 0.01], 1, 9), (5, [1.0, 0.0], None, 9), (6, None, 1, 9)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, root int")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [("3", 1, "3", True), ("4", 1, "3", False), ("5", 0, "5", True), ("6", 0, "6", True), ("None", 0, "None", False), ("None", 0, "None", False)]
+
+
+def test_repeats_of_documents_with_text_names(spark):
+    rows = [("a", "x" * 50 + "".join(chr(97 + i % 26) for i in range(500))), ("b", "".join(chr(97 + i % 26) for i in range(500)) + "y"), ("c", "short"), (None, None)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (550, 500), "b": (501, 500), "c": (5, 0), None: (0, 0)}
+
+
+def test_leaks_of_odd_tables(spark):
+    item = " ".join(f"w{i}" for i in range(20)) + ". the answer is w3 w4 w5."
+    rows = [(1, "before " + item, 5, "x"), (1, item, 5, "x"), (1, "nothing here", 6, "y"), (None, item, 7, "z"), (2, "nothing there", 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, words string")
+    items = spark.createDataFrame([(7, item, "a"), (8, item, "b"), (8, item, "b"), (None, None, "c")], "item_id long, text string, doc_id string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 7), ("1", 8), ("None", 7), ("None", 8)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
