@@ -109,7 +109,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         with scope():
-            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), spread=None, own=False)
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), own=False)
         if before:
             remove(spark, before)
         before = folder_of(docs)
