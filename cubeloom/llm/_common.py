@@ -144,17 +144,14 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str = "t", spread: int | None = 8, own: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str = "t", own: bool = True) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage.
 
-    One task writes the partitions of up to `spread` shuffle partitions, one after
-    the other, so that small tables don't become thousands of files; there are at
-    least two tasks per core. Without spread each partition is a file. A table that
-    is not the operator's own outlives its scope.
+    Each partition is a file: of what was shuffled, adaptive execution makes them by
+    bytes, so no task takes more as the tables grow. A table that is not the operator's
+    own outlives its scope.
     """
     spark = df.sparkSession
-    if spread is not None:
-        df = df.coalesce(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")) // spread))
     path = f"{shared_dir(spark)}/cubeloom/{name}-{uuid.uuid4().hex}"
     if own:
         _WRITTEN.append((spark, path))

@@ -165,7 +165,7 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     place = F.struct("doc_id", "line")
     rooted = table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root"))
     # A table of its own: a class of very many lines is then split between tasks by the join.
-    classes = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "classes", spread=None)
+    classes = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "classes")
     first = lambda c: F.when(F.col("first").isNull(), F.col(c)).otherwise(F.col(f"first.{c}"))
     out = rooted.join(classes, "root", "left").select("doc_id", "line", first("doc_id").alias("class_doc_id"), first("line").alias("class_line"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line")))

@@ -187,8 +187,8 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
     in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("bucket", "first")
     # Few rows of many have a shared bucket: no sort of all.
-    shared = written(in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct(), "shared", spread=None)
-    live = written(items.select("k", "body").join(shared.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "live", spread=None)
+    shared = written(in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct(), "shared")
+    live = written(items.select("k", "body").join(shared.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "live")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,7 +208,7 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
         vectors = live
         if vectors_of:
             vectors = stored(vectors_of(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()), "vectors")
-        found = written(with_both(pairs, vectors).mapInPandas(check, "a long, b long"), "links", spread=None)
+        found = written(with_both(pairs, vectors).mapInPandas(check, "a long, b long"), "links")
         if vectors_of:
             vectors.unpersist()
         return found
@@ -218,7 +218,7 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
         roots = components(links).select(F.col("node").alias("k"), "root")
         member = shared.join(roots, "k", "left").select("bucket", "first", "k", F.coalesce("root", "k").alias("root"))
         several = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2").select("bucket", "n")
-        return written(member.join(several, "bucket"), "mixed", spread=None)
+        return written(member.join(several, "bucket"), "mixed")
 
     def small_pairs(rows: DataFrame, most: int | None) -> DataFrame:
         """Pairs in the small buckets; those of one first member, at most one a band, are taken together."""
@@ -230,12 +230,12 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
         return _blocked(rows.where(F.col("n") > SMALL).join(live, "k"), "body", BLOCK).groupBy("bucket", "i", "j").applyInPandas(_blockwise(kind, FIRST), "a long, b long")
 
     def fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-        return written(pairs.where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs", spread=None)
+        return written(pairs.where("a <> b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
 
     dear = vectors_of is not None
     tried = shared.where(F.col("k") != F.col("first")).select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
     if dear:
-        tried = written(with_both(tried, live).mapInPandas(agreeing, "a long, b long"), "pairs", spread=None)
+        tried = written(with_both(tried, live).mapInPandas(agreeing, "a long, b long"), "pairs")
     links = verified(tried)
 
     rest = mixed(links)
@@ -251,5 +251,5 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
         many = mixed(links).where(F.col("n") > SMALL)
         vectors = stored(vectors_of(many.select("k").distinct()), "vectors") if vectors_of else live.toDF("k", "vec")
         exact = _blocked(many.join(vectors, "k"), "vec", EXACT_BLOCK).groupBy("bucket", "i", "j").applyInPandas(_exact(kind.unpack, kind.similarity), "a long, b long")
-        links = links.union(written(exact.where("a <> b").distinct(), "links", spread=None))
+        links = links.union(written(exact.where("a <> b").distinct(), "links"))
     return components(links).select(F.col("node").alias("k"), "root")

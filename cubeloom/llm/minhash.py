@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": ks, "sig": sigs})
 
     of_doc = written(base.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, sig binary"), "samples")
-    texts = written(of_doc.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "texts", spread=None)
+    texts = written(of_doc.where("sig is not null").groupBy("k").agg(F.any_value("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "texts")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, most_broadcast: in
     roots = linked_components(texts.select("k", "sig", F.col("sig").alias("body")), kind)
     rooted = of_doc.select("doc_id", "k").join(roots, "k", "left").select("doc_id", F.coalesce("root", "k").alias("root"))
     # A table of its own: a class of very many documents is then split between tasks by the join.
-    classes = written(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("root", "class_id", F.lit(True).alias("several")), "classes", spread=None)
+    classes = written(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("root", "class_id", F.lit(True).alias("several")), "classes")
     class_id = F.when(F.col("several"), F.col("class_id")).otherwise(F.col("doc_id"))
     out = rooted.join(classes, "root", "left").select("doc_id", class_id.alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))

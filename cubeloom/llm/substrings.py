@@ -227,7 +227,8 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     long_enough = docs.where(F.length("text") >= n).withColumn("doc_id", number)
     filed = long_enough.select("h", "doc_id", "text").mapInPandas(_file(n), "h binary, rep long, p int, lo int, hi int, key long")
     filed = written(filed.groupBy("h", "p", "lo", "hi", "key").agg(F.count("*").alias("c"), F.min("rep").alias("rep")), "anchors")
-    shared = filed.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
+    # A table of its own: a key of very many anchors is then split between tasks by the join.
+    shared = written(filed.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key"), "keys")
     live = filed.join(shared, "key", "left_semi")
     lists = live.groupBy("h").agg(F.min("rep").alias("doc_id"), *[F.collect_list(c).alias(f"{c}s") for c in ("p", "lo", "hi", "c", "key")])
     region = "h binary, base int, body binary, ps array<int>, los array<int>, his array<int>, cs array<long>, keys array<long>, wholes array<long>"
