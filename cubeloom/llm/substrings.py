@@ -237,7 +237,8 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     each = regions.select("h", "base", F.explode(F.arrays_zip(*_LISTS)).alias("a")).select("h", "base", *[F.col(f"a.{c}").alias(c[:-1]) for c in _LISTS])
     place = F.struct("h", "base", "p", "lo", "hi")
     kinds = stored(each.groupBy("whole").agg(F.sum("c").alias("t"), F.min(place).alias("at"), F.min("key").alias("key")), "kinds")
-    done = each.join(kinds.where("t > 1").select("whole"), "whole", "left_semi").select("h", "lo", "hi")
+    several = lambda df, name: written(df.where("t > 1").select(name), name)  # noqa: E731  split where one is hot, as above
+    done = each.join(several(kinds, "whole"), "whole", "left_semi").select("h", "lo", "hi")
 
     open_keys = kinds.where("t = 1").select("key").distinct()
     todo = kinds.join(open_keys, "key", "left_semi").select("at.*", "t").groupBy("h", "base").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("p", "lo", "hi", "t")])
@@ -246,13 +247,13 @@ def repeated_spans(docs: DataFrame, n: int = 400) -> DataFrame:
     part = F.struct("h", "base", "lo", "hi")
     blocks = stored(blocks, "blocks")
     parts = stored(blocks.groupBy("u").agg(F.sum("t").alias("t"), F.min(part).alias("at"), F.min("core").alias("core")), "parts")
-    done = done.unionByName(blocks.where("t = 1").join(parts.where("t > 1").select("u"), "u", "left_semi").select("h", "lo", "hi"))
+    done = done.unionByName(blocks.where("t = 1").join(several(parts, "u"), "u", "left_semi").select("h", "lo", "hi"))
 
     open_cores = parts.groupBy("core").agg(F.sum("t").alias("all"), F.max(F.col("t") == 1).alias("open")).where("all > 1 and open").select("core")
     todo = parts.join(open_cores, "core", "left_semi").select("at.*", "t").groupBy("h", "base").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("lo", "hi", "t")])
     windows = stored(bodies.join(todo, ["h", "base"]).mapInPandas(_windows(n), "h binary, lo int, t long, w long"), "windows")
-    again = windows.groupBy("w").agg(F.sum("t").alias("t")).where("t > 1").select("w")
-    done = done.unionByName(windows.where("t = 1").join(again, "w", "left_semi").select("h", "lo", F.col("lo").alias("hi")))
+    again = windows.groupBy("w").agg(F.sum("t").alias("t"))
+    done = done.unionByName(windows.where("t = 1").join(several(again, "w"), "w", "left_semi").select("h", "lo", F.col("lo").alias("hi")))
     return done.groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
