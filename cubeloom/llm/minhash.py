@@ -2,8 +2,8 @@
 
 A text's words are runs of ASCII letters and digits and non-ASCII characters,
 A-Z lower-cased. Its features are shingles of five words (all its words if it has
-fewer), weighted by their number in the text times the inverse document
-frequency. Document frequencies are counted over all texts, in 2^20 counters that
+fewer), weighted by their number in the text times the square root of the inverse
+document frequency. Document frequencies are counted over all texts, in 2^20 counters that
 shingles share by hash: a table of fixed size whatever the corpus.
 
 Each text gets ``bands * rows`` samples; two texts share a sample with the
@@ -67,7 +67,9 @@ def shingles(text: bytes | None, width: int = WIDTH) -> tuple[np.ndarray, np.nda
 
 
 def inverse_frequencies(frequency: np.ndarray, docs: int) -> np.ndarray:
-    return (np.log((1.0 + docs) / (1.0 + np.minimum(frequency, docs))) + 1.0).astype(np.float32)
+    """The square root of the inverse document frequency: what a large group of near copies
+    shares is common, and would otherwise weigh little against the few shingles that differ."""
+    return np.sqrt(np.log((1.0 + docs) / (1.0 + np.minimum(frequency, docs))) + 1.0).astype(np.float32)
 
 
 def samples(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
