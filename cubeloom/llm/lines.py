@@ -39,6 +39,8 @@ _FOLD = [np.uint64(int(x) | 1) for x in _DRAW.integers(0, 1 << 64, 3, dtype=np.u
 
 
 def level(line: str) -> bytes:
+    if line.isprintable() and "  " not in line and line[:1] != " " != line[-1:]:  # a space is the only white space that is printable
+        return line.lower().encode()
     return " ".join(line.lower().split()).encode()
 
 

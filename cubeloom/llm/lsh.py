@@ -90,9 +90,13 @@ def _blockwise(kind: Kind, most: int | None):
         if len(left) and len(right):
             x, y = kind.signs(left["body"].tolist()), kind.signs(right["body"].tolist())
             xk, yk, xc, yc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
-            for at in range(0, len(x), 256):
-                i, j = _differing(x[at : at + 256], y, xc[at : at + 256], yc, kind.agree, most)
-                out.append(_pairs(xk[at : at + 256], yk, i, j))
+            roots, n = np.unique(np.concatenate([xc, yc]), return_counts=True)
+            top = roots[n.argmax()]  # its members need not be compared with each other
+            for rows, cols in ((np.flatnonzero(xc != top), np.arange(len(y))), (np.flatnonzero(xc == top), np.flatnonzero(yc != top))):
+                for at in range(0, len(rows) if len(cols) else 0, 256):
+                    r = rows[at : at + 256]
+                    i, j = _differing(x[r], y[cols], xc[r], yc[cols], kind.agree, most)
+                    out.append(_pairs(xk[r], yk[cols], i, j))
         return pd.concat(out).drop_duplicates()
 
     return run
@@ -162,7 +166,15 @@ def _exact(unpack: Callable[[bytes], Vector], similarity: float):
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         lk, rk, lc, rc = (d[c].to_numpy() for c in ("k", "root") for d in (left, right))
-        linked = link_matrix([unpack(v) for v in left["vec"]], [unpack(v) for v in right["vec"]], lc[:, None] != rc[None, :], similarity)
+        x, y, apart = [unpack(v) for v in left["vec"]], [unpack(v) for v in right["vec"]], lc[:, None] != rc[None, :]
+        # pairs within the commonest component need no product: often most of a block
+        roots, n = np.unique(np.concatenate([lc, rc]), return_counts=True)
+        top = roots[n.argmax()]
+        linked = np.zeros(apart.shape, bool)
+        for rows, cols in ((np.flatnonzero(lc != top), np.arange(len(y))), (np.flatnonzero(lc == top), np.flatnonzero(rc != top))):
+            if len(rows) and len(cols):
+                at = np.ix_(rows, cols)
+                linked[at] = link_matrix([x[i] for i in rows], [y[j] for j in cols], apart[at], similarity)
         row, col = spanning_stars(linked)
         r, c = row >= 0, col >= 0
         return pd.DataFrame({"a": np.concatenate([lk[r], rk[c]]), "b": np.concatenate([rk[row[r]], rk[col[c]]])})
