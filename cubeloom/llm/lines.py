@@ -165,7 +165,7 @@ def near_duplicate_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     kind = Kind(BANDS, ROWS, AGREE, similarity, lambda x: as_signs(signatures(x)), shares, lambda x: (shingle_set(x), None))
     roots = linked_components(table.where("sig is not null").select("k", "sig", "body"), kind)
     place = F.struct("doc_id", "line")
-    rooted = table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root"))
+    rooted = written(table.select("doc_id", "line", "k").join(roots, "k", "left").select("doc_id", "line", F.coalesce("root", "k").alias("root")), "rooted")
     # A table of its own: a class of very many lines is then split between tasks by the join.
     classes = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "classes")
     first = lambda c: F.when(F.col("first").isNull(), F.col(c)).otherwise(F.col(f"first.{c}"))
