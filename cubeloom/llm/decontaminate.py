@@ -20,7 +20,9 @@ is its last sentence. It is a paraphrase if passage and item are close in the la
 space, it holds most of the item's weight in any order, some of it in order, and most
 of the answer's words.
 
-Items are taken in blocks of bounded size, each against all documents. Null texts
+Items are taken in blocks of bounded size, each against all documents. Beyond a count
+of candidates, they meet the words of documents in a shuffled join, which a filter of
+fixed size spares most documents without candidates. Null texts
 are empty; items without words match nothing; equal items are reported each. Rows
 that repeat a doc_id are one document to the result. Other columns are ignored.
 """
@@ -51,6 +53,8 @@ RANK, OVER = 96, 16
 BLOCK_ITEMS, BLOCK_WORDS = 512, 40_000
 #: Row ranges of a dense matrix that are added up apart.
 PARTS = 64
+#: Bits of the filter of documents with candidates, in bitmaps of 2^15: at most 8 MB (17 MB as a broadcast table), whatever the number of documents.
+FILTER_BITS = 26
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -347,6 +351,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, need: float = 0.6, need_answer:
     return out.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", *[f"b.{c}" for c in ("cosine", "overlap", "answer", "cover")])
 
 
+def _marked(base: DataFrame, found: DataFrame) -> DataFrame:
+    """base without most of the documents that found does not name: one bit a hash of
+    doc_id, so that some others stay, but all that are named do."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    bucket, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit((1 << 15) - 1))
+    # dealt before they are made: a bitmap has its full size however few bits are set
+    bits = found.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return base.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket").where(is_set).select(base.columns)
+
+
 def _block_leaks(base: DataFrame, block: list, idf: np.ndarray, shared_idf, schema: str, id_type: str, need: float, need_answer: float, most_broadcast: int) -> DataFrame:
     spark = base.sparkSession
     slots = np.unique(np.concatenate([features(ws) & MASK for _, ws, _ in block]))
@@ -436,6 +452,8 @@ def _block_leaks(base: DataFrame, block: list, idf: np.ndarray, shared_idf, sche
     wanted = found.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("start", "item", "cosine")])
     if found.count() <= most_broadcast:  # three numbers each
         wanted = F.broadcast(wanted)
+    else:  # few documents have candidates: only their words are shuffled
+        base = _marked(base, found)
     known = [(item_id, f := features(ws).tolist(), answer_length(text, len(ws)), {w: float(idf[w & int(MASK)]) for w in f}) for item_id, ws, text in block]
     texts = sent(spark, known)
 

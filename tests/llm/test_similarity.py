@@ -397,3 +397,33 @@ def test_leaks_of_odd_tables(spark):
     got = decontaminate.leaks(docs, items).collect()
     assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 7), ("1", 8), ("None", 7), ("None", 8)]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+
+
+def shuffled_rows(df):
+    """Rows that the plan of df, which was run, sent through its shuffles."""
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        n = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        return n + sum(map(below, inner + [children.apply(i) for i in range(children.size())]))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_leaks_shuffle_only_documents_with_candidates(spark):
+    draw = random.Random(3)
+    items = [(i, " ".join(f"i{draw.randrange(5_000)}" for _ in range(30))) for i in range(5)]
+    rows = planted(draw, items, 1_500, 0.02) + [(None, items[0][1]), (7, items[1][1]), (7, "none of these"), (9_000, None)]
+    want = compared([r for r in rows if r[0] is not None and r[1]], items) | {(None, 0)}
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontaminate.leaks(docs, tests, most_broadcast=0)
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and sorted(map(str, got)) == sorted(map(str, decontaminate.leaks(docs, tests).collect()))
+    assert 0 < shuffled_rows(found) < 750
