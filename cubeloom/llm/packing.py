@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeloom.llm._common import cache, claim, sent, stored
+from cubeloom.llm._common import cache, claim, sent, stored, trim
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, "_WordIds"] = {}
@@ -162,11 +162,14 @@ def fit_patterns(hist: np.ndarray, length: int, rounds: int = 200) -> list[tuple
     have = have[have < length]
     if not len(have):
         return out
-    a, b = np.meshgrid(have, have, indexing="ij")
-    c = length - a - b
-    ok = (a >= b) & (c >= 0) & (c <= b)
-    ok[ok] &= (c[ok] == 0) | (hist[c[ok]] > 0)
-    pattern = np.stack([a[ok], b[ok], c[ok]], 1)  # a third length of 0 is none
+    found = []  # by first length: a table of all pairs would take more than all patterns do
+    for a in have:
+        b = have[: np.searchsorted(have, a, "right")]
+        c = length - a - b
+        ok = (c >= 0) & (c <= b)
+        ok[ok] &= (c[ok] == 0) | (hist[c[ok]] > 0)
+        found.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], 1))  # a third length of 0 is none
+    pattern = np.concatenate(found)
     if not len(pattern):
         return out
     target = left.copy()
@@ -268,6 +271,7 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER) -> Dat
         hist[r["length"]] = r["count"]
     spark = docs.sparkSession
     shared = sent(spark, plan(hist, length))
+    trim()
     groups = int(min(max(hist.sum() // 100_000, 64), 8192))
 
     salted = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample, sent, trim
+from cubeloom.llm._common import cache, claim, held_out_column, labelled_sample, sent, trim, trim_driver
 
 WORD = re.compile(r"[^\W\d_]+")
 _SEEN: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight in the model _SEEN_BY
@@ -144,6 +144,7 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 20, alpha: float = 1.0, l2:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 50_000) -> ToxicityModel:
     model = fit(*labelled_sample(docs, labels, "toxic", per_class, 8, most_chars))
     trim()
+    trim_driver(docs.sparkSession)
     return model
 
 

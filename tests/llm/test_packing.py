@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -69,6 +70,17 @@ def test_plan_places_every_piece_once(seed):
     assert used <= packing._packed(hist, 128, [])[0]  # best-fit decreasing alone
 
 
+def test_patterns_of_all_lengths_take_little_memory():
+    hist = np.ones(2049, np.int64)
+    hist[0] = 0
+    tracemalloc.start()
+    fitted = packing.fit_patterns(hist, 2048, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fitted[0] == ((2048,), 1) and all(sum(p) == 2048 for p, _ in fitted)
+    assert peak < 80e6
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9), (1, None, 9), (None, "", 9), (3, "a " * 5000, 9)], "doc_id long, text string, length int")
     rows = packing.pack(docs).collect()

@@ -1,7 +1,10 @@
+import gc
+import weakref
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cubeloom.llm import decontaminate, lines, minhash, toxicity
+from cubeloom.llm import _common, decontaminate, lines, minhash, toxicity
 from cubeloom.llm._common import read
 
 
@@ -69,3 +72,21 @@ def test_very_long_texts(spark, small):
         docs = stage(spark, docs, small).persist()
     assert {r["doc_id"]: len(r["text"]) for r in docs.collect()}[1] == len(long)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).agg({"length": "max"}).first()[0] == 2048
+
+
+def test_driver_keeps_nothing_of_results_that_are_gone(spark, small):
+    docs = read(spark, small, "documents")
+    first = len(_common._SENT)
+    kept = corpus_pipeline.drop_toxic(spark, docs, small)
+    model = weakref.ref(_common.sent(spark, "a model"))
+    gc.collect()
+    assert model() is None and not any(isinstance(b, weakref.ref) and b() for b in _common._SENT[first:])
+    assert 0 < kept.count() < docs.count()  # its plan still has the model
+    with _common.scope():
+        inside = weakref.ref(_common.sent(spark, "a model"))
+        gc.collect()
+        assert inside() is not None
+    spark.catalog.clearCache()
+    before = len(_common._HELD)
+    _common.stored(docs)
+    assert not any(_common._HELD[:before])
