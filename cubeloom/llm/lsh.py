@@ -13,6 +13,8 @@ Items that share a whole band are candidates, in rounds:
    components, by products of their feature matrices, block by block, from which
    only spanning stars of the links come back.
 
+Buckets are found by packed rows of entries, not by a row for each item and band.
+
 What shares a bucket and a component needs no pair, so a group of copies, however
 large, costs its own size. Two things can lose a link: its ends share no band, or
 fewer than ``agree`` of their samples are equal where that is asked (round 2, and
@@ -26,16 +28,20 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import spanning_stars, stored, written
+from cubeloom.llm._common import mix, spanning_stars, stored, trimmed, written
 from cubeloom.llm.components import components
 
 BLOCK = 4000
 EXACT_BLOCK = 500
 SMALL = 64
 FIRST = 3
+PARTS = 4096
+ENTRIES = 1 << 19
+HOT = 64
 Vector = tuple[np.ndarray, np.ndarray | None]
 
 
@@ -58,6 +64,115 @@ class Kind:
     vectors_of: Callable[[DataFrame], DataFrame] | None = None
 
 
+def band_buckets(sigs: np.ndarray, bands: int) -> np.ndarray:
+    """The bucket of each signature (a row of samples) in each band."""
+    samples = sigs.reshape(len(sigs), bands, -1)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), samples.shape[:2])
+    for s in range(samples.shape[2]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + samples[:, :, s])
+    return out
+
+
+def _dealt(bands: int):
+    """Entries (bucket, k) of items as packed rows, one of each part of the buckets. Of a bucket
+    with many members here one goes on as "seed", the others as "member": they are known to share it."""
+
+    def packed(role: str, bucket: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        # members need no meeting: they are dealt by place
+        part = np.arange(len(k)) * PARTS // max(len(k), 1) if role == "member" else bucket >> np.uint64(52)
+        cut = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(k)]), len(k)).astype(np.int32)
+        blobs = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut * np.int32(8)), pa.py_buffer(x)]) for x in (bucket, k)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array([role] * (len(cut) - 1), pa.string()), *blobs], ["part", "role", "buckets", "ks"])
+
+    def rows_of(sigs: list[np.ndarray], ks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, at = np.unique(np.concatenate(ks), return_index=True)
+        bucket, k = band_buckets(np.concatenate(sigs)[at], bands).ravel(), np.repeat(k, bands)
+        order = np.argsort(bucket)
+        bucket, k = bucket[order], k[order]
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        n = np.diff(np.append(start, len(bucket)))
+        hot = np.repeat(n >= HOT, n)
+        yield packed("", bucket[~hot], k[~hot])
+        if hot.any():
+            bucket, k = bucket[hot], k[hot]
+            order = np.lexsort((k, bucket))
+            bucket, k = bucket[order], k[order]
+            seed = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            yield packed("seed", bucket[seed], k[seed])
+            yield packed("member", bucket[~seed], k[~seed])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, ks, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                sigs.append(as_signs(batch.column("sig").to_pylist()))
+                ks.append(batch.column("k").to_numpy())
+                size += batch.num_rows * bands
+            if size >= ENTRIES:
+                yield from rows_of(sigs, ks)
+                sigs, ks, size = [], [], 0
+        if size:
+            yield from rows_of(sigs, ks)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in the order of their parts, the entries of buckets that several items share,
+    with the smallest; hot buckets, of which members are known elsewhere, are marked, and such members have no first."""
+
+    def batch_of(bucket: np.ndarray, first: np.ndarray | None, k: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        firsts = pa.nulls(len(k), pa.int64()) if first is None else pa.array(first)
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), firsts, pa.array(k), pa.array(hot)], ["bucket", "first", "k", "hot"])
+
+    def met(rows: list[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
+        bucket, k = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in ((0, np.uint64), (1, np.int64)))
+        seed = np.repeat([r[2] for r in rows], [len(r[0]) // 8 for r in rows])
+        order = np.argsort(bucket)
+        b = bucket[order]
+        same = np.concatenate([[False], b[1:] == b[:-1], [False]])
+        order = order[same[:-1] | same[1:] | seed[order]]  # few of many
+        order = order[np.lexsort((k[order], bucket[order]))]
+        bucket, k, seed = bucket[order], k[order], seed[order]
+        start = np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(k)]
+        of = np.cumsum(start) - 1
+        hot = np.bincount(of, weights=seed).astype(bool)[of]
+        once = start | np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+        keep = once & ((np.bincount(of, weights=once)[of] > 1) | hot)
+        return batch_of(bucket[keep], k[start][of][keep], k[keep], hot[keep])
+
+    rows, size, last = [], 0, None
+    for batch in batches:
+        for part, role, buckets, ks in zip(*(batch.column(c).to_pylist() for c in ("part", "role", "buckets", "ks")), strict=True):
+            if role == "member":
+                own = np.frombuffer(ks, np.int64)
+                yield batch_of(np.frombuffer(buckets, np.uint64), None, own, np.ones(len(own), bool))
+                continue
+            if part != last and size >= ENTRIES:
+                yield met(rows)
+                rows, size = [], 0
+            rows.append((buckets, ks, role == "seed"))
+            size += len(ks) // 8
+            last = part
+    if rows:
+        yield met(rows)
+
+
+def shared_buckets(items: DataFrame, bands: int) -> DataFrame:
+    """bucket, first (its smallest k) and k of items (k, sig) that share a band with another, each once.
+
+    Entries are shuffled and met in packed rows: few of many share a bucket. A task holds one part of
+    the buckets at a time, and few members of a bucket from each that deals them, however large it is.
+    """
+    dealt = items.select("k", "sig").mapInArrow(trimmed(_dealt(bands)), "part int, role string, buckets binary, ks binary")
+    met = written(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(_met), "bucket long, first long, k long, hot boolean"), "shared")
+    hot = met.where("hot")
+    if hot.isEmpty():
+        return met.select("bucket", "first", "k")
+    firsts = hot.where("first is not null").select("bucket", "first").distinct()
+    return written(met.where("not hot").select("bucket", "first", "k").union(hot.select("bucket", "k").distinct().join(firsts, "bucket").select("bucket", "first", "k")), "shared")
+
+
 def _differing(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of signatures in different components that agree enough; with
     ``most``, for each x the closest few only."""
@@ -194,12 +309,7 @@ def linked_components(items: DataFrame, kind: Kind) -> DataFrame:
     """k, root of every item with a link. items: k, sig and body, the payload; an item
     may come several times, with the same sig and body."""
     kind, vectors_of = replace(kind, vectors_of=None), kind.vectors_of  # what goes to executors holds no table
-    wide = kind.rows * 2
-    band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + b * wide, wide)) for b in range(kind.bands)]
-    in_band = items.select("k", F.explode(F.array(*band)).alias("bucket"))
-    buckets = in_band.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("bucket", "first")
-    # Few rows of many have a shared bucket: no sort of all.
-    shared = written(in_band.join(buckets.hint("shuffle_hash"), "bucket").distinct(), "shared")
+    shared = shared_buckets(items, kind.bands)
     live = written(items.select("k", "body").join(shared.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "live")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

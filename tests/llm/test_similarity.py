@@ -181,6 +181,49 @@ def test_lines_equal_brute_force(spark):
     assert all(r["kept"] == ((r["doc_id"], r["line"]) == (r["class_doc_id"], r["class_line"])) for r in got)
 
 
+@pytest.mark.parametrize("hot,entries", [(64, 1 << 19), (4, 300)])
+def test_shared_buckets_equal_a_plain_count(spark, monkeypatch, hot, entries):
+    """Every entry of every bucket that items share, also of buckets that most items share."""
+    monkeypatch.setattr(lsh, "ENTRIES", entries)
+    monkeypatch.setattr(lsh, "HOT", hot)
+    draw = np.random.default_rng(5)
+    sigs = draw.integers(0, 12, (700, 9)).astype(np.uint16)
+    sigs[:300, :3] = 7  # a bucket of very many
+    sigs[200:320, 3:6] = 8
+    items = [(1_000 - i if i % 2 else -i, sigs[i].tobytes()) for i in range(700)]
+    items += items[:250]  # items may come several times
+    members = defaultdict(set)
+    for k, sig in items:
+        for band in range(3):
+            members[band, sig[6 * band : 6 * band + 6]].add(k)
+    want = Counter((min(ks), k) for ks in members.values() if len(ks) > 1 for k in ks)
+    table = lsh.shared_buckets(spark.createDataFrame(items, "k long, sig binary").repartition(3), 3)
+    got = table.collect()
+    assert Counter((r["first"], r["k"]) for r in got) == want and len({r["bucket"] for r in got}) == sum(len(ks) > 1 for ks in members.values())
+    assert lsh.shared_buckets(spark.createDataFrame([], "k long, sig binary"), 3).count() == 0
+
+
+def shuffled_records(spark, run):
+    """Records that all stages of run write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        seen = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (seen.apply(i) for i in range(seen.size()))}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for stage, n in stages().items() if stage > before)
+
+
+def test_lines_do_not_shuffle_a_row_for_each_band(spark):
+    draw = random.Random(8)
+    rows = [(i, "\n".join("".join(draw.choices("abcdefgh", k=40)) for _ in range(40))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert shuffled_records(spark, lambda: lines.near_duplicate_lines(docs).collect()) < 4_000 * lines.BANDS
+
+
 # ---- benchmark
 
 
