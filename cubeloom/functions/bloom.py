@@ -1,4 +1,8 @@
-"""Bloom filters as tables of 64-bit words, made and probed by columns."""
+"""Bloom filters as tables of 64-bit words, made and probed by columns.
+
+A filter is cut into blocks of about 4,096 bits. A key's bits lie in one block, so
+a row meets half a kilobyte of the filter, however many items it is made for.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK = 4096
+
 
 @dataclass(frozen=True)
 class BloomShape:
@@ -25,14 +31,29 @@ class BloomShape:
     def bits(self) -> int:
         return max(1, math.ceil(self.n * self.hashes / math.log(2)))
 
+    @property
+    def blocks(self) -> int:
+        return math.ceil(self.bits / BLOCK)
+
+    @property
+    def words(self) -> int:
+        """Words of a block; all blocks together have at least ``bits``."""
+        return math.ceil(self.bits / self.blocks / 64)
+
     def expected_rate(self, items: int) -> float:
         return (1 - math.exp(-self.hashes * items / self.bits)) ** self.hashes
 
 
+def _places(key: Column, shape: BloomShape) -> tuple[Column, list[Column]]:
+    """A key's block and its bits in there, by double hashing; the step is odd, so no bit comes twice."""
+    a, b = F.shiftright(F.xxhash64(key), 1), F.shiftright(F.xxhash64(key, F.lit(42)), 16).bitwiseOR(F.lit(1))
+    return F.pmod(F.xxhash64(key, F.lit(43)), F.lit(shape.blocks)), [F.pmod(a + i * b, F.lit(shape.words * 64)) for i in range(1, shape.hashes + 1)]
+
+
 def positions(key: Column, shape: BloomShape) -> Column:
-    """Bit positions of a key, by double hashing."""
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(42))
-    return F.transform(F.sequence(F.lit(1), F.lit(shape.hashes)), lambda i: F.pmod(F.shiftright(a, 1) + i * F.shiftright(b, 16), F.lit(shape.bits)))
+    """Bit positions of a key."""
+    block, bits = _places(key, shape)
+    return F.array(*(block * (shape.words * 64) + bit for bit in bits))
 
 
 def build(items: DataFrame, key: str, shape: BloomShape) -> DataFrame:
@@ -54,23 +75,26 @@ def merge(*filters: DataFrame) -> DataFrame:
 def estimate(built: DataFrame, shape: BloomShape) -> DataFrame:
     """bits set, n (items, estimated from them) and rate (of false positives now)."""
     bits = F.coalesce(F.sum(F.bit_count("mask")), F.lit(0))
-    share = bits / F.lit(float(shape.bits))
-    n = F.when(share < 1, -F.lit(shape.bits / shape.hashes) * F.log(1 - share)).otherwise(F.lit(float("inf")))
+    size = shape.blocks * shape.words * 64
+    share = bits / F.lit(float(size))
+    n = F.when(share < 1, -F.lit(size / shape.hashes) * F.log(1 - share)).otherwise(F.lit(float("inf")))
     return built.agg(bits.alias("bits"), n.alias("n"), F.pow(share, F.lit(shape.hashes)).alias("rate"))
 
 
-def probe(items: DataFrame, key: str, built: DataFrame, shape: BloomShape) -> DataFrame:
+def probe(items: DataFrame, key: str, built: DataFrame, shape: BloomShape, most_broadcast: int = 32 << 20) -> DataFrame:
     """items with ``might_contain``; never false for a key that was built in, false for null keys.
 
-    The words stand in one array, read by index. It has a fixed length (1.3 MB for a
-    million items at 0.01), so it is broadcast whatever the tables.
+    Rows meet the block of their key in a join. A filter of up to ``most_broadcast``
+    bytes (26 million items at 0.01) is broadcast; for a larger one both sides are shuffled.
     """
-    every = built.sparkSession.range(math.ceil(shape.bits / 64)).select(F.col("id").alias("word"))
-    full = every.join(built, "word", "left").select(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")).alias("w"))
-    words = full.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["mask"]).alias("_words"))
-    bit = lambda p: F.getbit(F.get("_words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
-    j = items.join(F.broadcast(words))
-    return j.withColumn("might_contain", F.col(key).isNotNull() & F.forall(positions(F.col(key), shape), bit)).drop("_words")
+    every = built.sparkSession.range(shape.blocks * shape.words).select(F.col("id").alias("word"))
+    full = every.join(built, "word", "left").select(F.floor(F.col("word") / shape.words).alias("_block"), F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")).alias("w"))
+    blocks = full.groupBy("_block").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["mask"]).alias("_words"))
+    block, bits = _places(F.col(key), shape)
+    is_set = (F.getbit(F.get("_words", F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1 for bit in bits)
+    known = items.withColumn("_block", F.when(F.col(key).isNotNull(), block))
+    j = known.join(F.broadcast(blocks) if shape.blocks * shape.words * 8 <= most_broadcast else blocks, "_block", "left")
+    return j.withColumn("might_contain", F.col(key).isNotNull() & reduce(Column.__and__, is_set)).drop("_block", "_words")
 
 
 def contains_all(items: DataFrame, key: str, built: DataFrame, shape: BloomShape) -> bool:

@@ -260,3 +260,23 @@ def test_large_grid_is_dealt(spark):
     times, values = spark.range(5).withColumnRenamed("id", "time"), spark.range(40).select(F.col("id").cast("string").alias("v"))
     got = cube.every_pair(times, values, most=10)
     assert got.count() == 200 and got.distinct().count() == 200
+
+
+def test_bloom_rows_meet_one_block(spark):
+    shape = bloom.BloomShape(3_000_000, 0.01)
+    built = bloom.build(spark.range(0, 2000, 2), "id", shape)
+    probed = bloom.probe(spark.range(2000), "id", built, shape)
+    plan = probed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and "Join Cross" not in plan and "Join Inner\n" not in plan  # rows never carry the whole filter
+    assert probed.columns == ["id", "might_contain"]
+    assert probed.where("id % 2 = 0 and not might_contain").count() == 0 and probed.where("id % 2 = 1 and might_contain").count() == 0
+
+
+def test_bloom_filter_too_large_to_broadcast(spark):
+    shape = bloom.BloomShape(20_000, 0.01)
+    built = bloom.build(spark.range(20_000), "id", shape)
+    rows = spark.range(-20_000, 20_000).union(spark.createDataFrame([(None,)], "id long"))
+    small, large = (bloom.probe(rows, "id", built, shape, most_broadcast=n) for n in (1 << 20, 0))
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0 and large.count() == 40_001
+    assert large.where("id >= 0 and not might_contain").count() == 0 and large.where("id is null and might_contain").count() == 0
+    assert large.where("id < 0 and might_contain").count() <= 0.01 * 20_000  # all blocks full, at the filter's design
