@@ -280,3 +280,34 @@ def test_bloom_filter_too_large_to_broadcast(spark):
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0 and large.count() == 40_001
     assert large.where("id >= 0 and not might_contain").count() == 0 and large.where("id is null and might_contain").count() == 0
     assert large.where("id < 0 and might_contain").count() <= 0.01 * 20_000  # all blocks full, at the filter's design
+
+
+def _merged(rows):
+    out = []
+    for name, a, b in sorted((r for r in rows if None not in r[1:] and r[1] <= r[2]), key=lambda r: (str(r[0]), r[1])):
+        if out and out[-1][0] == name and a <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], b)
+        else:
+            out.append([name, a, b])
+    return sorted(map(tuple, out), key=str)
+
+
+@pytest.mark.parametrize("most", [8, 40, 200_000])
+def test_large_sets_are_merged_in_stretches(spark, most):
+    import random
+
+    draw = random.Random(5)
+    rows = [(name, a := draw.randrange(20 * n), a + draw.choice([0, 3, 9, 9, 30])) for name, n in (("a", 300), ("b", 90), (None, 60), ("c", 5)) for _ in range(n)]
+    rows += [("a", 3000, 3000 + k % 7) for k in range(200)]  # one start fills stretches
+    rows += [("b", 100, 1200), (None, -5, -1), ("d", 4, 4), ("d", 9, 2), ("d", None, 3)]  # one range over many stretches
+    df = spark.createDataFrame(rows, "name string, start long, end long")
+    assert sorted((tuple(r) for r in ranges.merge_ranges(df, ["name"], most).collect()), key=str) == _merged(rows)
+    alone = [("a", r[1], r[2]) for r in rows]
+    assert sorted((("a", *r) for r in ranges.merge_ranges(df.drop("name"), None, most).collect()), key=str) == _merged(alone)
+
+
+@pytest.mark.parametrize("sets,most", [(500, 1000), (3, 1000)])
+def test_tasks_of_range_merge_do_not_grow(spark, sets, most):
+    rows = spark.range(20_000).select((F.col("id") % sets).alias("name"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end"))
+    got = ranges.merge_ranges(rows, ["name"], most).groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    assert got[0] == 20_000 and got[1] <= 3 * most  # before, all in as many tasks as shuffles have
