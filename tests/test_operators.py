@@ -311,3 +311,9 @@ def test_tasks_of_range_merge_do_not_grow(spark, sets, most):
     rows = spark.range(20_000).select((F.col("id") % sets).alias("name"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end"))
     got = ranges.merge_ranges(rows, ["name"], most).groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
     assert got[0] == 20_000 and got[1] <= 3 * most  # before, all in as many tasks as shuffles have
+
+
+def test_more_sets_take_more_tasks(spark):
+    rows = spark.range(2_400_000).select((F.col("id") % 2400).alias("name"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end"))
+    got = ranges.merge_ranges(rows, ["name"]).groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    assert got[0] == 2_400_000 and got[1] <= 400_000  # of 200,000 on average; four shuffle partitions would hold 600,000
